@@ -25,7 +25,7 @@ def snapshot_changes(snapshots: DataFrame, compared: tuple[str, ...] = COMPARED)
     the gap. Columns not compared are not read.
     """
     rows = snapshots.where("snapshot_id is not null and id is not null")
-    # max over a binary-safe struct is a hash aggregate with a map-side combine
+    # max over a struct combines on the map side, so repeated deliveries do not travel
     latest = F.max(F.struct(F.col("loaded_at"), row_hash(*compared).alias("hash")))
     state = rows.groupBy("snapshot_id", "id").agg(latest.alias("latest")).select("snapshot_id", "id", F.col("latest.hash").alias("hash"))
     # One row per delivered snapshot.
