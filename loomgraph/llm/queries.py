@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import packing, reading, tokens
+from loomgraph.llm import packing, reading, tokens, validity
 from loomgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -18,6 +18,21 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def p3_found(spark, d):
+    return validity.unparsable(table(spark, d, "sources"))
+
+
+@query()
+def p3_rates(spark, d):
+    return validity.acceptance(table(spark, d, "sources"))
+
+
+@query()
+def p3_causes(spark, d):
+    return validity.causes(table(spark, d, "sources"))
+
+
 @query()
 def p6_ids(spark, d):
     return tokens.encode_documents(table(spark, d, "documents"))
