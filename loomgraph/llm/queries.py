@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import packing, reading, tokens, validity
+from loomgraph.llm import packing, provenance, reading, tokens, validity
 from loomgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -33,6 +33,16 @@ def p3_causes(spark, d):
     return validity.causes(table(spark, d, "sources"))
 
 
+@query()
+def p4_found(spark, d):
+    return provenance.not_hand_written(table(spark, d, "sources"), table(spark, d, "nodes"), table(spark, d, "library_files"))
+
+
+@query()
+def p4_origins(spark, d):
+    return provenance.file_origins(table(spark, d, "sources"), table(spark, d, "nodes"), table(spark, d, "library_files"))
+
+
 @query()
 def p6_ids(spark, d):
     return tokens.encode_documents(table(spark, d, "documents"))
