@@ -25,6 +25,8 @@ class Go(Parser):
     BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3, "+": 4, "-": 4, "|": 4, "^": 4, "*": 5, "/": 5, "%": 5, "<<": 5, ">>": 5, "&": 5, "&^": 5}
 
     def lex(self) -> None:
+        put_kind, put_text, put_fresh, put_place = self.kinds.append, self.texts.append, self.fresh.append, self.places.append
+        match = _TOKEN.match
         src, n, at, fresh = self.source, len(self.source), 0, True
         if src.startswith("﻿"):
             at = 1
@@ -34,7 +36,10 @@ class Go(Parser):
                 self.add("p", ";", place, False)
 
         while at < n:
-            m = _TOKEN.match(src, at)
+            if src[at] in " \t":
+                at += 1
+                continue
+            m = match(src, at)
             if m is None:
                 ch = src[at]
                 self.error(at, "comment or text without an end" if src.startswith("/*", at) or ch in "`\"'" else f"unexpected {ch!r}")
@@ -50,13 +55,13 @@ class Go(Parser):
                 line_ends(at)
                 fresh = True
             elif g == "op":
-                self.add("p", m.group(), at, fresh)
+                put_kind("p"), put_text(m.group()), put_place(at), put_fresh(fresh)
                 fresh = False
             elif g == "name":
-                self.add("n", m.group(), at, fresh)
+                put_kind("n"), put_text(m.group()), put_place(at), put_fresh(fresh)
                 fresh = False
             elif g == "num":
-                self.add("0", "0", at, fresh)
+                put_kind("0"), put_text("0"), put_place(at), put_fresh(fresh)
                 fresh = False
                 e = m.end()
                 if e < n and (src[e].isalnum() or src[e] == "_"):

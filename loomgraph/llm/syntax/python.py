@@ -29,6 +29,8 @@ class Python(Parser):
 
     # lexing
     def lex(self) -> None:
+        put_kind, put_text, put_fresh, put_place = self.kinds.append, self.texts.append, self.fresh.append, self.places.append
+        match = _TOKEN.match
         src = self.source
         if "\0" in src:
             self.error(src.index("\0"), "null byte")
@@ -72,19 +74,22 @@ class Python(Parser):
                         self.error(at, "tabs and spaces are mixed")
                     levels.append(wide)
                     alternatives.append(narrow)
-                    add("i", _INDENT, at, True)
+                    put_kind("i"), put_text(_INDENT), put_place(at), put_fresh(True)
                 else:
                     while wide < levels[-1]:
                         levels.pop()
                         alternatives.pop()
-                        add("i", _DEDENT, at, True)
+                        put_kind("i"), put_text(_DEDENT), put_place(at), put_fresh(True)
                     if wide != levels[-1]:
                         self.error(at, "unindent to no outer level")
                         levels.append(wide)
                         alternatives.append(narrow)
                     elif narrow != alternatives[-1]:
                         self.error(at, "tabs and spaces are mixed")
-            m = _TOKEN.match(src, at)
+            if src[at] == " ":
+                at += 1
+                continue
+            m = match(src, at)
             if m is None:
                 self.error(at, f"unexpected {src[at]!r}")
                 at += 1
@@ -93,7 +98,7 @@ class Python(Parser):
             if g in ("q", "pre"):
                 g = "str"
             if g == "name":
-                add("n", m.group(), at, False)
+                put_kind("n"), put_text(m.group()), put_place(at), put_fresh(False)
             elif g == "op":
                 t = m.group()
                 if t in "([{":
@@ -107,9 +112,9 @@ class Python(Parser):
                             pairs.pop()
                 elif t == "!":
                     self.error(at, "unexpected '!'")
-                add("p", t, at, False)
+                put_kind("p"), put_text(t), put_place(at), put_fresh(False)
             elif g == "num":
-                add("0", "0", at, False)
+                put_kind("0"), put_text("0"), put_place(at), put_fresh(False)
                 t, e = m.group(), m.end()
                 if len(t) > 1 and t[0] == "0" and t.replace("_", "").isdigit() and t.strip("0_"):
                     self.error(at, "number with a leading zero")
@@ -136,7 +141,7 @@ class Python(Parser):
                 continue
             elif g == "nl":
                 if not pairs:
-                    add("e", _LINE, at, False)
+                    put_kind("e"), put_text(_LINE), put_place(at), put_fresh(False)
                     begin = True
             at = m.end()
         if pairs:

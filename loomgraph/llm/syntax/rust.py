@@ -27,18 +27,24 @@ class Rust(Parser):
     BINARY = {"..": 1, "..=": 1, "||": 2, "&&": 3, "==": 4, "!=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "|": 5, "^": 6, "&": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
 
     def lex(self) -> None:
+        put_kind, put_text, put_fresh, put_place = self.kinds.append, self.texts.append, self.fresh.append, self.places.append
+        match = _TOKEN.match
         src, n, at, fresh = self.source, len(self.source), 0, True
         if src.startswith("#!") and not src.startswith("#!["):
             at = src.find("\n") if "\n" in src else n
         while at < n:
-            if src.startswith("/*", at):
+            ch = src[at]
+            if ch == " ":
+                at += 1
+                continue
+            if ch == "/" and src.startswith("/*", at):
                 end = self._comment(at)
                 if end < 0:
                     return self.error(at, "comment without an end")
                 fresh |= "\n" in src[at:end]
                 at = end
                 continue
-            m = _TOKEN.match(src, at)
+            m = match(src, at)
             if m is None:
                 ch = src[at]
                 self.error(at, "text without an end" if ch in "\"'" else f"unexpected {ch!r}")
@@ -51,7 +57,7 @@ class Rust(Parser):
                 fresh = True
             elif g not in ("sp", "lc"):
                 kind, text = {"op": ("p", m.group()), "name": ("n", m.group()), "num": ("0", "0"), "str": ('"', '"'), "life": ("l", "'")}[g]
-                self.add(kind, text, at, fresh)
+                put_kind(kind), put_text(text), put_place(at), put_fresh(fresh)
                 fresh = False
                 if g == "num" and m.end() < n and (src[m.end()].isalnum() or src[m.end()] == "_"):
                     self.error(at, "number runs into a name")

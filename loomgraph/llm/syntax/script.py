@@ -30,20 +30,27 @@ class Script(Parser):
     STARTS = frozenset("var let const function class if for while do return switch try throw import export interface type enum break continue".split())
     BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "in": 8, "instanceof": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
     ts = False
+    #: Whether the last closing parenthesis ended the head of a statement.
+    head_ends = False
 
     # lexing
     def lex(self) -> None:
+        put_kind, put_text, put_fresh, put_place = self.kinds.append, self.texts.append, self.fresh.append, self.places.append
+        match = _TOKEN.match
         src, n, at, fresh = self.source, len(self.source), 0, True
         if src.startswith("#!"):
             at = src.find("\n") if "\n" in src else n
         braces: list[str] = []
-        add = self.add
+        heads: list[bool] = []
         while at < n:
             ch = src[at]
+            if ch == " ":
+                at += 1
+                continue
             if ch == "/" and src[at : at + 2] not in ("//", "/*") and self._regex_may_begin():
                 m = _REGEX.match(src, at)
                 if m:
-                    add("r", "/r/", at, fresh)
+                    put_kind("r"), put_text("/r/"), put_place(at), put_fresh(fresh)
                     at, fresh = m.end(), False
                     continue
             if ch == "`" or (ch == "}" and braces and braces[-1] == "`"):
@@ -56,15 +63,15 @@ class Script(Parser):
                     self.error(at, "template without an end")
                     return
                 if src[end] == "`":
-                    add("`", "`" if head else "}`", at, fresh)
+                    put_kind("`"), put_text("`" if head else "}`"), put_place(at), put_fresh(fresh)
                     at = end + 1
                 else:
-                    add("`", "`{" if head else "}{", at, fresh)
+                    put_kind("`"), put_text("`{" if head else "}{"), put_place(at), put_fresh(fresh)
                     braces.append("`")
                     at = end + 2
                 fresh = False
                 continue
-            m = _TOKEN.match(src, at)
+            m = match(src, at)
             if m is None:
                 self.error(at, "comment or text without an end" if src.startswith("/*", at) or ch in "'\"" else f"unexpected {ch!r}")
                 if src.startswith("/*", at):
@@ -81,19 +88,23 @@ class Script(Parser):
                     braces.append("{")
                 elif t == "}" and braces:
                     braces.pop()
-                add("p", t, at, fresh)
+                elif t == "(":
+                    heads.append(bool(self.texts) and self.texts[-1] in ("if", "while", "for", "with"))
+                elif t == ")":
+                    self.head_ends = bool(heads) and heads.pop()
+                put_kind("p"), put_text(t), put_place(at), put_fresh(fresh)
                 fresh = False
             elif g == "name":
-                add("n", m.group(), at, fresh)
+                put_kind("n"), put_text(m.group()), put_place(at), put_fresh(fresh)
                 fresh = False
             elif g == "num":
-                add("0", "0", at, fresh)
+                put_kind("0"), put_text("0"), put_place(at), put_fresh(fresh)
                 fresh = False
                 e = m.end()
                 if e < n and (src[e].isalnum() or src[e] in "_$"):
                     self.error(at, "number runs into a name")
             elif g == "str":
-                add('"', '"', at, fresh)
+                self.add('"', '"', at, fresh)
                 fresh = False
             elif g == "nl" or (g == "bc" and "\n" in m.group()):
                 fresh = True
@@ -106,7 +117,7 @@ class Script(Parser):
         if k == "n":
             return t in _KEYWORD_BEFORE_REGEX
         if k == "p":
-            return t not in (")", "]", "++", "--")
+            return self.head_ends if t == ")" else t not in ("]", "++", "--")
         return t in ("`{", "}{")
 
     # statements
@@ -961,7 +972,7 @@ class Script(Parser):
         if t == "@":
             self.class_(True)
             return "value"
-        if t == "#" and self.kinds[self.i + 1] == "n":
+        if t == "#" and self.kinds[self.i + 1] == "n" and self.ahead(2) == "in":
             self.i += 2
             return "value"
         self.fail()
