@@ -1,6 +1,6 @@
 """Communities by modularity, level by level.
 
-All nodes of one half (by a hash of their id, alternating) look at their
+A half of the nodes (by a hash of id and sweep, so another half each time) look at their
 neighbours' communities at the same time and move to the one of the largest
 gain; ties go to the least community. Every sweep is a fixed number of joins
 and aggregates over the edges; a lone node moves to another lone node only
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.durable import Workspace
 
-SWEEPS = 8
-#: A level ends when two sweeps in a row move no more than this share of the nodes.
+SWEEPS = 12
+#: A level ends when three sweeps in a row move no more than this share of the nodes.
 SETTLED = 0.005
 #: A gain counts from here on (float sums differ in the last digits by their order).
 LEAST_GAIN = 1e-9
@@ -39,7 +39,7 @@ def _level(ws: Workspace, pairs: DataFrame, sweeps: int) -> DataFrame:
     for sweep in range(sweeps):
         totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
         into = both.join(state.select(F.col("id").alias("near"), "community"), "near").groupBy("id", "community").agg(F.sum("w").alias("inside"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == sweep % 2
+        turn = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0
         mine = state.where(turn).select("id", "k", F.col("community").alias("own"))
         offers = mine.join(into, "id").join(totals, "community")
         others = F.when(F.col("community") == F.col("own"), F.col("total") - F.col("k")).otherwise(F.col("total"))
@@ -57,7 +57,7 @@ def _level(ws: Workspace, pairs: DataFrame, sweeps: int) -> DataFrame:
         state._loom_path = new._loom_path
         n, moved = new.agg(F.count(F.lit(1)), F.sum(F.col("moved").cast("int"))).first()
         quiet = quiet + 1 if moved <= SETTLED * n else 0
-        if quiet == 2:
+        if quiet == 3:
             break
     return ws.keep(state.select("id", "community"))
 
