@@ -484,3 +484,64 @@ def edge_families(spark, d):
     from loomgraph.functions.columns import family
 
     return _e(spark, d).groupBy(family("kind").alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _records(spark, d):
+    from loomgraph.operators import extract as X
+
+    return X, X.records(table(spark, d, "sources"))
+
+
+@query()
+def extract_nodes(spark, d):
+    X, rec = _records(spark, d)
+    return X.nodes(rec)
+
+
+@query()
+def extract_edges(spark, d):
+    X, rec = _records(spark, d)
+    return X.edges(rec)
+
+
+@query()
+def extract_routes(spark, d):
+    X, rec = _records(spark, d)
+    return X.routes(rec)
+
+
+@query()
+def extract_callbacks(spark, d):
+    X, rec = _records(spark, d)
+    return X.callbacks(rec)
+
+
+@query()
+def resolved_calls(spark, d):
+    X, rec = _records(spark, d)
+    return X.resolved_calls(rec)
+
+
+@query()
+def dataflow(spark, d):
+    X, rec = _records(spark, d)
+    return X.flows(rec)
+
+
+@query()
+def shared_variables(spark, d):
+    X, rec = _records(spark, d)
+    return X.shared_variables(rec)
+
+
+@query()
+def extract_errors(spark, d):
+    X, rec = _records(spark, d)
+    return X.errors(rec)
+
+
+@query()
+def file_diff(spark, d):
+    from loomgraph.operators.incremental import file_diff
+
+    return file_diff(*_pair(spark, d))

@@ -1 +1 @@
-
+"""Graphs that follow streams of changes."""
