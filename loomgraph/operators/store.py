@@ -163,3 +163,23 @@ class GraphStore:
         if v is None:
             raise FileNotFoundError(f"no graph in {self.folder}")
         return self.spark.read.parquet(f"{self.folder}/{v}/nodes"), self.spark.read.parquet(f"{self.folder}/{v}/edges")
+
+
+def snippet_anchors(snippets: DataFrame, sources: DataFrame, within: int = 5) -> DataFrame:
+    """``trace_id, symbol, anchored``: whether the first line of a snippet's code stands within its place.
+
+    ``snippets`` has trace_id, symbol, code, file and line; the place is the
+    given line and those behind it, ``within`` in all. A file without a text
+    anchors nothing.
+    """
+    s = sources.where("source is not null").groupBy("path").agg(F.max_by("source", F.struct("mtime", "source")).alias("source")).select(F.col("path").alias("file"), F.split("source", r"\r?\n").alias("lines"))
+    first = F.trim(F.split("code", r"\r?\n")[0])
+    j = snippets.join(s, "file", "left").withColumns({"first": first, "place": F.slice("lines", F.greatest(F.lit(1), F.col("line")), within)})
+    hit = F.exists("place", lambda x: F.instr(x, F.col("first")) > 0) & (F.col("first") != "")
+    return j.select("trace_id", "symbol", F.coalesce(hit, F.lit(False)).alias("anchored"))
+
+
+def trace_matches(trace_edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges of traces (``trace_id, source, target, kind``) with ``matched``: whether the extracted facts have them."""
+    f = facts.select("source", "target", "kind").distinct().withColumn("matched", F.lit(True))
+    return trace_edges.join(f, ["source", "target", "kind"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
