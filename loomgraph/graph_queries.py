@@ -469,7 +469,7 @@ def rename_nodes(spark, d):
 @query()
 def communities(spark, d):
     n, e = _n(spark, d), _e(spark, d)
-    return M.communities(n, e.where("kind <> 'defines'"))
+    return M.communities(n, e.where("kind <> 'defines'"), levels=3)
 
 
 @query()
