@@ -299,11 +299,6 @@ def preflight_client(spark, d):
     return C.fan_in_risk(_n(spark, d), _e(spark, d))
 
 
-def _cyclic(spark, d):
-    e = _e(spark, d)
-    return e.where("kind in ('imports','inherits','defines')")
-
-
 # Mutual reachability of what is left of the imports and of containment once leaves are gone.
 _SCC = """t as (select distinct source as src, target as dst from e where kind in ('imports','inherits','defines') and source <> target),
 t1 as (select * from t where src in (select dst from t) and dst in (select src from t)), t2 as (select * from t1 where src in (select dst from t1) and dst in (select src from t1)),
@@ -315,13 +310,13 @@ c as (select a1.src as id, least(a1.src, min(a1.dst)) as scc from w a1 join w b1
 
 @query(_g(_SCC + " select id, scc from c", recursive=True))
 def cycles(spark, d):
-    return Y.components(_cyclic(spark, d))
+    return Y.components(_e(spark, d))
 
 
 @query(_g(_SCC + """, p as (select id, max(case when json_valid(properties) and json_extract(properties, '$.llm') is not null then 1 else 0 end) as llm from nodes where id is not null group by 1)
 select scc, count(*) as size, case when max(coalesce(p.llm, 0)) = 1 then 'llm_involved' when max(case when n.kind = 'medium' then 1 else 0 end) = 1 then 'data_persistent' else 'pure_code' end as kind from c left join n using (id) left join p using (id) group by 1""", recursive=True))
 def classify_cycles(spark, d):
-    return Y.classify(_n(spark, d), Y.components(_cyclic(spark, d)), table(spark, d, "nodes").select("id", "properties"))
+    return Y.classify(_n(spark, d), Y.components(_e(spark, d)), table(spark, d, "nodes").select("id", "properties"))
 
 
 _THREADS = "y as (select target as id, count(distinct source) as accessors, count(distinct case when kind = 'writes' then source end) as writers from e where kind in ('reads','writes','shares') and target in (select id from n where kind = 'medium') group by 1 having count(distinct source) > 1)"
@@ -336,13 +331,13 @@ def thread_report(spark, d):
  union all select 'thread_conflicts', (select count(*) from y), case when (select count(*) from y) > 3 then 'high' else 'low' end) select * from q where n > 0""", recursive=True))
 def blindspots(spark, d):
     n, e = _n(spark, d), _e(spark, d)
-    return C.blindspot_rows(e, Y.components(_cyclic(spark, d)), C.thread_report(n, e))
+    return C.blindspot_rows(e, Y.components(_e(spark, d)), C.thread_report(n, e))
 
 
 @query(_g(_SCC + """, k as (select (select count(*) from n) as nodes, (select count(*) from e) as edges, (select count(distinct scc) from c) as cycles, (select count(*) from e where coupling_depth >= 4) as l4)
 select nodes, edges, cycles, l4, least(least(edges / nodes, 5.0) / 5 * 40 + greatest(1 - cycles / 20, 0) * 10 + greatest(1 - least(nodes, 20) / 20, 0) * 20 + greatest(1 - l4 / edges, 0) * 30, 100) as score, case when edges / nodes > 2 then 'healthy' when edges > 0 then 'stable' else 'empty' end as trend from k""", recursive=True))
 def health(spark, d):
-    return C.health(_n(spark, d), _e(spark, d), Y.components(_cyclic(spark, d)))
+    return C.health(_n(spark, d), _e(spark, d), Y.components(_e(spark, d)))
 
 
 @query(_g("select least(100.0 * (select count(*) from e where coupling_depth >= 4) / (select count(*) from n), 100.0) as density, (100 - least(100.0 * (select count(*) from e where coupling_depth >= 4) / (select count(*) from n), 100.0)) * 0.6 + 40 as score"))
