@@ -289,8 +289,7 @@ z1 as (select distinct z.file, seed, dst as id from z join h on src = z.id), z2
 u as (select * from z union select * from z1 union select * from z2)
 select file, count(distinct seed) as direct_nodes, count(*) as total_impact, count(*) - count(distinct seed) as blast, case when count(*) - count(distinct seed) > 100 then 'high' when count(*) - count(distinct seed) > 20 then 'medium' else 'low' end as risk from u group by 1"""))
 def preflight_files(spark, d):
-    n = _n(spark, d)
-    return C.preflight(n, _e(spark, d), n.where("file like '%/%'").agg(F.min("file").alias("file")), 2)
+    return C.preflight(_n(spark, d), _e(spark, d), _changed(spark, d))
 
 
 @query(_g("""k as (select n.file, (select count(*) from e where e.target = n.id) as i from n where file is not null)

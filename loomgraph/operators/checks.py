@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import DATA, TEMPORAL
 from loomgraph.operators.graph import adjacency, degrees, with_ends
 from loomgraph.operators.traverse import layers
+from loomgraph.plans.durable import Workspace
 
 # Paths of migrations, of formats that others read, and of configuration.
 MIGRATION = r"(?i)(migrations?/|migrate|alembic/|flyway|liquibase|schema\.sql|\.ddl$)"
@@ -17,6 +20,8 @@ SERIALIZATION = r"(?i)(serializ|\.proto$|schema|\.avsc$|dto)"
 CONFIGURATION = r"(?i)(config|settings|\.ya?ml$|\.toml$|\.ini$|\.env|\.properties$|dockerfile|\.conf$)"
 #: Signal levels that are violations besides 5, which always is.
 DEFAULT_ROUTING = {4: True, 3: False, 2: False}
+#: Linked pairs up to which preflight sends the graph to every task.
+PAIRS_IN_MEMORY = 4_000_000
 
 
 def pattern_to_regex(pattern: str) -> str:
@@ -58,20 +63,68 @@ def policy_rules(nodes: DataFrame, edges: DataFrame, rules: list[dict]) -> DataF
     return every.join(n, "rule", "left").select("rule", F.coalesce("violations", F.lit(0).cast("long")).alias("violations")).withColumn("passed", F.col("violations") == 0)
 
 
-def preflight(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
+def preflight(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 3, in_memory: int = PAIRS_IN_MEMORY) -> DataFrame:
     """``file, direct_nodes, total_impact, blast, risk`` of each file of ``files`` (``file``).
 
     total_impact sums, over the nodes of the file, how many nodes are within
     ``depth`` steps, the node itself included; risk is high above 100 further
-    nodes, medium above 20.
+    nodes, medium above 20. Up to ``in_memory`` linked pairs (counted) every
+    task has the whole graph and walks 64 nodes at a time; beyond it the walk
+    is by joins.
     """
-    seeds = nodes.join(files.select("file").distinct(), "file", "left_semi").select("file", "id", F.col("id").alias("seed"))
-    walk = layers(adjacency(edges).select("src", "dst").distinct(), seeds.select("file", "seed", "id"), depth, ("file", "seed"))
-    per = walk.groupBy("file").agg(F.count_distinct("seed").alias("direct_nodes"), F.count(F.lit(1)).alias("total_impact"))
+    ws = Workspace(nodes.sparkSession, "preflight")
+    seeds = ws.keep(nodes.join(files.select("file").distinct(), "file", "left_semi").select("file", F.col("id").alias("seed")))
+    pairs = ws.keep(edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct())
+    if pairs.count() <= in_memory:
+        per = _ball_totals(ws, pairs, seeds, depth)
+    else:
+        walk = layers(adjacency(edges).select("src", "dst").distinct(), seeds.withColumn("id", F.col("seed")), depth, ("file", "seed"))
+        per = walk.groupBy("file").agg(F.count_distinct("seed").alias("direct_nodes"), F.count(F.lit(1)).alias("total_impact"))
     blast = F.col("total_impact") - F.col("direct_nodes")
     return per.select("file", "direct_nodes", "total_impact", blast.alias("blast"), F.when(blast > 100, "high").when(blast > 20, "medium").otherwise("low").alias("risk"))
 
 
+def _ball_totals(ws: Workspace, pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """``file, direct_nodes, total_impact`` of ``file, seed``, with the pairs ``a, b`` sent to every task as numbers."""
+    spark = pairs.sparkSession
+    numbers = ws.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("no")))
+    coded = pairs.join(numbers.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(numbers.select(F.col("id").alias("b"), F.col("no").alias("y")), "b").select("x", "y").toArrow()
+    x, y = coded["x"].to_numpy(), coded["y"].to_numpy()
+    known = np.unique(np.concatenate([x, y]))
+    x, y = np.searchsorted(known, x).astype(np.int32), np.searchsorted(known, y).astype(np.int32)
+    # Every node is its own neighbour, so a step keeps what was reached before.
+    own = np.arange(len(known), dtype=np.int32)
+    heads, tails = np.concatenate([x, y, own]), np.concatenate([y, x, own])
+    order = np.argsort(heads, kind="stable")
+    graph = spark.sparkContext.broadcast((known, tails[order], np.searchsorted(heads[order], np.arange(len(known) + 1))))
+
+    def run(batches):
+        known, near, begin = graph.value
+        for b in batches:
+            names, no = b.column("file").to_pylist(), b.column("no")
+            lone = no.is_null().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(known, no.fill_null(0).to_numpy())
+            rows = [(names[i], 1, 1) for i in np.flatnonzero(lone)]
+            linked = np.flatnonzero(~lone)
+            for k in range(0, len(linked), 64):
+                word = linked[k : k + 64]
+                bits = np.left_shift(np.uint64(1), np.arange(len(word), dtype=np.uint64))
+                reached = np.zeros(len(known), np.uint64)
+                for i, bit in zip(at[word], bits):
+                    reached[near[begin[i] : begin[i + 1]] if depth else i] |= bit
+                for _ in range(depth - 1):
+                    reached = np.bitwise_or.reduceat(reached[near], begin[:-1])
+                masks: dict = {}
+                for i, bit in zip(word, bits):
+                    masks.setdefault(names[i], []).append(bit)
+                rows += [(name, len(own), int(np.bitwise_count(reached & np.bitwise_or.reduce(own)).sum())) for name, own in masks.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[j] for r in rows], pa.int64()) for j in (1, 2))], names=["file", "n", "total"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    placed = seeds.join(numbers.withColumnRenamed("id", "seed"), "seed", "left").select("file", "no").repartition(tasks, "file").sortWithinPartitions("file")
+    return placed.mapInArrow(run, "file string, n long, total long").groupBy("file").agg(F.sum("n").alias("direct_nodes"), F.sum("total").alias("total_impact"))
+
+
 def fan_in_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``file, fan_in, max_fan_in, risk`` of every file: high from 10 or 50, medium from 5 or 20."""
     d = degrees(nodes, edges).join(nodes.where("file is not null").select("id", "file"), "id")

@@ -3,6 +3,8 @@
 import pytest
 
 from loomgraph import graph_queries as Q
+from loomgraph.operators import checks as C
+from loomgraph.operators import graph as G
 
 NODES = "id string, name string, kind string, location string, properties string, out_degree long, in_degree long, community_id int"
 EDGES = "source string, target string, kind string, coupling_depth int, temporal_delay_sec double"
@@ -28,3 +30,23 @@ def test_cycles_of_every_kind(spark, tmp_path):
     assert rows(Q.classify_cycles(spark, d).select("scc", "size")) == {("a", 2), ("x", 3), ("p", 2)}
     assert {r["name"]: r["n"] for r in Q.blindspots(spark, d).collect()}["cycles"] == 3
     assert Q.health(spark, d).first()["cycles"] == 3
+
+
+def test_preflight_of_all_changed_files(spark, tmp_path):
+    chain = [(f"n{i}", f"n{i + 1}", "calls") for i in range(8)]
+    files = {"n0": "m/ends.py", "n8": "m/ends.py", "n4": "m/middle.py"}
+    log = spark.createDataFrame([("file_modified", "m/ends.py"), ("file_modified", "m/middle.py"), ("file_modified", "none.py"), ("analyze", "m/n1.py")], "event_type string, file string")
+    d = tables(spark, tmp_path, chain, files, timeline=log)
+    assert rows(Q.preflight_files(spark, d).select("file", "direct_nodes", "total_impact", "blast")) == {("m/ends.py", 2, 8, 6), ("m/middle.py", 1, 7, 6)}
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_preflight_in_memory_equals_joins(spark, depth):
+    d = "/root/testdata/sf0.001"
+    n, e = Q._n(spark, d), Q._e(spark, d)
+    files = n.where("file is not null").select("file").distinct()
+    lone = spark.createDataFrame([("lone", "lone", "symbol", "x/lone.py:1", "{}", 0, 0, None)], NODES)
+    n = n.unionByName(G.canonical_nodes(lone))
+    files = files.unionByName(spark.createDataFrame([("x/lone.py",)], "file string"))
+    got = rows(C.preflight(n, e, files, depth))
+    assert len(got) > 40 and got == rows(C.preflight(n, e, files, depth, 0))
