@@ -462,14 +462,13 @@ def rename_nodes(spark, d):
 
 @query()
 def communities(spark, d):
-    n, e = _n(spark, d), _e(spark, d)
-    return M.communities(n, e.where("kind <> 'defines'"), levels=3)
+    return M.communities(_n(spark, d), _e(spark, d))
 
 
 @query()
 def community_labels(spark, d):
     n, e = _n(spark, d), _e(spark, d)
-    top = M.communities(n, e.where("kind <> 'defines'"), levels=1)
+    top = M.communities(n, e, levels=1)
     return M.labels(top.select("id", "community"), n)
 
 

@@ -9,14 +9,17 @@ downwards, so two of them never swap.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.durable import Workspace
 
-SWEEPS = 12
-#: A level ends when three sweeps in a row move no more than this share of the nodes.
-SETTLED = 0.005
+#: Sweeps of a level at most, as in the reference.
+SWEEPS = 100
+#: A level ends when three sweeps in a row move no more than this share of the nodes: none.
+SETTLED = 0.0
 #: A gain counts from here on (float sums differ in the last digits by their order).
 LEAST_GAIN = 1e-9
 
@@ -62,28 +65,30 @@ def _level(ws: Workspace, pairs: DataFrame, sweeps: int) -> DataFrame:
     return ws.keep(state.select("id", "community"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS, levels: int = 5) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS, levels: int | None = None) -> DataFrame:
     """``level, id, community``: the communities of every node on each level, the finest being 0.
 
     A community is named by the least id of its members. A node without edges
-    is one of its own. Levels end when nothing merges, or after ``levels``. An empty graph has none.
+    is one of its own. Levels end when nothing merges or one community is left, or after
+    ``levels`` if given. An empty graph has none.
     """
     ws = Workspace(edges.sparkSession, "community")
     inside = edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
     pairs = ws.keep(weighted_pairs(inside))
     current = ws.keep(nodes.select("id", F.col("id").alias("unit")))
     out = None
-    for level in range(levels):
+    for level in itertools.count() if levels is None else range(levels):
         moved = _level(ws, pairs, sweeps)
         joined = current.join(moved.select(F.col("id").alias("unit"), "community"), "unit", "left").select("id", F.coalesce("community", "unit").alias("raw"))
         names = joined.groupBy("raw").agg(F.min("id").alias("unit"))
         new = ws.keep(joined.join(names, "raw").select("id", "unit"))
-        fewer = new.select("unit").distinct().count() < current.select("unit").distinct().count()
+        left = new.select("unit").distinct().count()
+        fewer = left < current.select("unit").distinct().count()
         if not fewer and out is not None:
             break
         rows = new.select(F.lit(level).alias("level"), "id", F.col("unit").alias("community"))
         out = rows if out is None else out.unionByName(rows)
-        if not fewer:
+        if not fewer or left == 1:
             break
         to = current.select("unit", "id").join(new.select("id", F.col("unit").alias("to")), "id").select(F.col("unit").alias("u"), "to").distinct()
         pairs = ws.keep(

@@ -4,6 +4,7 @@ import pytest
 
 from loomgraph import graph_queries as Q
 from loomgraph.operators import checks as C
+from loomgraph.operators import community as M
 from loomgraph.operators import graph as G
 
 NODES = "id string, name string, kind string, location string, properties string, out_degree long, in_degree long, community_id int"
@@ -50,3 +51,21 @@ def test_preflight_in_memory_equals_joins(spark, depth):
     files = files.unionByName(spark.createDataFrame([("x/lone.py",)], "file string"))
     got = rows(C.preflight(n, e, files, depth))
     assert len(got) > 40 and got == rows(C.preflight(n, e, files, depth, 0))
+
+
+def test_communities_of_defines_edges(spark, tmp_path):
+    d = tables(spark, tmp_path, [(a, b, "defines") for t in ("abc", "xyz") for a, b in zip(t, t[1:] + t[0])])
+    assert rows(Q.communities(spark, d).where("level = 0").select("id", "community")) == {(i, t[0]) for t in ("abc", "xyz") for i in t}
+    assert rows(Q.community_labels(spark, d).select("community", "size")) == {("a", 3), ("x", 3)}
+
+
+def test_communities_until_one_is_left(spark, tmp_path, monkeypatch):
+    def halved(ws, pairs, sweeps):
+        assert sweeps == 100
+        units = sorted({u for r in pairs.collect() for u in (r["a"], r["b"])})
+        return spark.createDataFrame([(u, units[k // 2 * 2]) for k, u in enumerate(units)], "id string, community string")
+
+    monkeypatch.setattr(M, "_level", halved)
+    d = tables(spark, tmp_path, [(f"n{i:02d}", f"n{i + 1:02d}", "calls") for i in range(31)])
+    got = rows(Q.communities(spark, d).select("level", "community"))
+    assert [sum(level == k for level, _ in got) for k in range(6)] == [16, 8, 4, 2, 1, 0]
