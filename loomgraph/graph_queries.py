@@ -237,7 +237,7 @@ select cast(min(depth) as int) as length from w, f where w.id = f.b""", recursiv
 def shortest_path_length(spark, d):
     e = _e(spark, d)
     r = e.where("kind = 'inherits'").agg(F.min("source").alias("a"), F.max("target").alias("b")).first()
-    return V.shortest_path(G.adjacency(e), r["a"], r["b"], 6).agg(F.min("length").alias("length"))
+    return V.shortest_path(G.adjacency(e), r["a"], r["b"]).agg(F.min("length").alias("length"))
 
 
 _PAIR = """u as (select max(snapshot_id) as s from node_snapshots), v as (select max(snapshot_id) as s from node_snapshots where snapshot_id < (select s from u)),

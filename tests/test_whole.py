@@ -69,3 +69,8 @@ def test_communities_until_one_is_left(spark, tmp_path, monkeypatch):
     d = tables(spark, tmp_path, [(f"n{i:02d}", f"n{i + 1:02d}", "calls") for i in range(31)])
     got = rows(Q.communities(spark, d).select("level", "community"))
     assert [sum(level == k for level, _ in got) for k in range(6)] == [16, 8, 4, 2, 1, 0]
+
+
+def test_shortest_path_beyond_six_steps(spark, tmp_path):
+    d = tables(spark, tmp_path, [(f"n{i}", f"n{i + 1}", "inherits") for i in range(9)])
+    assert rows(Q.shortest_path_length(spark, d)) == {(9,)}
