@@ -56,6 +56,14 @@ class Workspace:
         out._loom_path = path
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete every table of this workspace but these, which a result still reads."""
+        stay = {getattr(t, "_loom_path", None) for t in tables}
+        for k in range(1, self._n + 1):
+            path = f"{self.root}/t{k:03d}"
+            if path not in stay:
+                drop_path(self.spark, path)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for t in tables:
