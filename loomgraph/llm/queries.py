@@ -43,6 +43,11 @@ def p4_origins(spark, d):
     return provenance.file_origins(table(spark, d, "sources"), table(spark, d, "nodes"), table(spark, d, "library_files"))
 
 
+@query()
+def p4_evidence(spark, d):
+    return provenance.evidence_counts(provenance.file_evidence(table(spark, d, "sources"), table(spark, d, "nodes"), table(spark, d, "library_files")))
+
+
 @query()
 def p6_ids(spark, d):
     return tokens.encode_documents(table(spark, d, "documents"))
