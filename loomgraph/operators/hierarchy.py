@@ -4,9 +4,10 @@ Every node walks to its next splitter (a node chosen by a hash of its id, or a
 root) by pointer doubling, so the rounds grow with the logarithm of the
 distance between splitters. The splitters alone form a reduced pointer graph, a
 fixed fraction of the nodes, which is solved in the same way; the results
-expand to all nodes with one join. A walk that meets an id twice has no root:
-cycles without a splitter are found in the first phase, those with splitters in
-the second.
+expand to all nodes with one join. A walk longer than there are walkers left
+has no root: cycles without a splitter are found in the first phase, those with
+splitters in the second. A row holds an id, a pointer and a distance, however
+deep the tree; only full paths, if asked for, grow with the depth.
 """
 
 from __future__ import annotations
@@ -36,28 +37,29 @@ def containment(edges: DataFrame, kind: str = "defines") -> DataFrame:
 def _chase(ws: Workspace, state: DataFrame, paths: bool) -> DataFrame:
     """Double the pointers of ``state`` until every row stops or is known to run in a circle.
 
-    Columns: id, ptr (an ancestor), dist (links to it), seg (the ids from the
-    parent up to ptr), stop (ptr ends a walk), loop (the walk meets an id twice).
-    ``seg`` of a stopped row is kept only if ``paths``.
+    Columns: id, ptr (an ancestor), dist (links to it), stop (ptr ends a walk),
+    loop (the walk runs in a circle), and with ``paths`` seg (the ids from the
+    parent up to ptr). After as many doublings all rows that still go have made
+    the same number of steps; when that is more than there were going rows one
+    doubling before, no walk without a repeated id is so long, and the rest
+    runs in circles. So no row carries what it has passed.
     """
-    seg = F.col("seg") if paths else F.when(F.col("stop") | F.col("loop"), F.lit(None).cast("array<string>")).otherwise(F.col("seg"))
-    state = ws.keep(state.withColumn("seg", seg))
-    done = None
-    finished: list[DataFrame] = []
+    seg = ["seg"] if paths else []
+    state = ws.keep(state.select("id", "ptr", "dist", "stop", "loop", *seg))
+    steps, before = 1, None
     while True:
         going = state.where("not stop and not loop")
-        if going.isEmpty():
-            break
-        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"), F.col("stop").alias("stop2"), F.col("loop").alias("loop2"))
+        n = going.count()
+        if not n:
+            return state
+        if before is not None and steps // 2 > before:
+            return state.withColumn("loop", ~F.col("stop"))
+        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("stop").alias("stop2"), F.col("loop").alias("loop2"), *[F.col("seg").alias("seg2") for _ in seg])
         moved = lookup_join(going, ahead, "ptr", "inner")
-        both = F.concat("seg", "seg2") if paths else F.when(F.col("stop2") | F.col("loop2"), F.lit(None).cast("array<string>")).otherwise(F.concat("seg", "seg2"))
-        moved = moved.select("id", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), both.alias("seg"), F.col("stop2").alias("stop"), F.col("loop2").alias("loop"))
-        twice = F.col("loop") | (~F.col("stop") & (F.array_contains("seg", F.col("id")) | (F.size(F.array_distinct("seg")) < F.size("seg"))))
-        moved = moved.withColumn("loop", F.coalesce(twice, F.lit(False)))
-        state, done = ws.keep(state.where("stop or loop").unionByName(moved)), state
-        finished.append(done)
-    ws.drop(*finished)
-    return state
+        moved = moved.select("id", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("stop2").alias("stop"), F.col("loop2").alias("loop"), *[F.concat("seg", "seg2").alias("seg") for _ in seg])
+        new = ws.keep(state.where("stop or loop").unionByName(moved))
+        ws.drop(state)
+        state, before, steps = new, n, 2 * steps
 
 
 def hierarchy(links: DataFrame, split_every: int = SPLIT_EVERY, paths: bool = False) -> DataFrame:
@@ -73,20 +75,20 @@ def hierarchy(links: DataFrame, split_every: int = SPLIT_EVERY, paths: bool = Fa
     splits = F.pmod(F.xxhash64("id"), F.lit(split_every)) == 0
     marks = nodes.select(F.col("id").alias("parent"), (splits | F.col("parent").isNull()).alias("stop"), F.col("parent").isNull().alias("at_root"))
     first = lookup_join(nodes.where("parent is not null and parent <> id"), marks, "parent", "inner")
-    self_loops = nodes.where("parent = id").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("dist"), F.array("parent").alias("seg"), F.lit(False).alias("stop"), F.lit(True).alias("loop"))
-    state = first.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("dist"), F.array("parent").alias("seg"), "stop", F.lit(False).alias("loop"))
+    self_loops = nodes.where("parent = id").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("dist"), F.lit(False).alias("stop"), F.lit(True).alias("loop"), *[F.array("parent").alias("seg") for _ in range(paths)])
+    state = first.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("dist"), "stop", F.lit(False).alias("loop"), *[F.array("parent").alias("seg") for _ in range(paths)])
     walked = _chase(ws, state.unionByName(self_loops), paths)
 
     roots = nodes.where("parent is null").select("id")
     # The reduced graph: splitters that are no roots, pointing at the next splitter or root.
     reduced = walked.where(splits & F.col("stop")).join(roots.select(F.col("id").alias("ptr"), F.lit(True).alias("at_root")), "ptr", "left")
-    reduced = reduced.select("id", "ptr", "dist", F.col("seg") if paths else F.array("ptr").alias("seg"), F.coalesce("at_root", F.lit(False)).alias("stop"), F.lit(False).alias("loop"))
-    astray = walked.where(splits & F.col("loop")).select("id", "ptr", "dist", F.col("seg") if paths else F.lit(None).cast("array<string>").alias("seg"), F.lit(False).alias("stop"), F.lit(True).alias("loop"))
+    seg = ["seg"] if paths else []
+    reduced = reduced.select("id", "ptr", "dist", F.coalesce("at_root", F.lit(False)).alias("stop"), F.lit(False).alias("loop"), *seg)
+    astray = walked.where(splits & F.col("loop")).select("id", "ptr", "dist", F.lit(False).alias("stop"), F.lit(True).alias("loop"), *seg)
     solved = _chase(ws, reduced.unionByName(astray), paths)
 
     # Expand: roots stand for themselves, every walk that stopped takes over its splitter's result.
-    up = "seg" if paths else "cast(null as array<string>) as seg"
-    ends = solved.selectExpr("id as ptr", "case when loop then '' else ptr end as root", "case when loop then -1L else dist end as up", up.replace("seg", "seg as above") if paths else "cast(null as array<string>) as above")
+    ends = solved.selectExpr("id as ptr", "case when loop then '' else ptr end as root", "case when loop then -1L else dist end as up", "seg as above" if paths else "cast(null as array<string>) as above")
     ends = ends.unionByName(roots.select(F.col("id").alias("ptr"), F.col("id").alias("root"), F.lit(0).cast("long").alias("up"), F.lit(None).cast("array<string>").alias("above")))
     stopped = lookup_join(walked.where("stop"), ends, "ptr", "inner")
     bad = F.col("up") < 0
@@ -95,7 +97,9 @@ def hierarchy(links: DataFrame, split_every: int = SPLIT_EVERY, paths: bool = Fa
     looped = walked.where("loop").select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("path"))
     own = roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     out = out.unionByName(looped).unionByName(own)
-    return out if paths else out.drop("path")
+    out = ws.keep(out if paths else out.drop("path"))
+    ws.keep_only(out)
+    return out
 
 
 def descendants(paths: DataFrame) -> DataFrame:

@@ -47,3 +47,14 @@ def test_containment_and_descendants(spark):
     assert {(r["id"], r["root"], r["depth"]) for r in paths.collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("z", "", -1)}
     assert {tuple(r) for r in H.descendants(paths).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
     assert H.hierarchy(H.containment(edges.where("false"))).collect() == []
+
+
+def test_a_very_deep_chain_keeps_small_rows(spark, monkeypatch):
+    n = 50_000
+    kept = []
+    keep = H.Workspace.keep
+    monkeypatch.setattr(H.Workspace, "keep", lambda ws, df: kept.append(keep(ws, df)) or kept[-1])
+    links = spark.range(n).selectExpr("cast(id as string) as id", "case when id > 0 then cast(id - 1 as string) end as parent")
+    got = H.hierarchy(links)
+    assert got.where("root <> '0' or depth <> cast(id as int)").isEmpty() and got.count() == n
+    assert all(f.dataType.simpleString() in ("string", "bigint", "int", "boolean") for df in kept for f in df.schema.fields)

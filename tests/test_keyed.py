@@ -39,6 +39,32 @@ def test_states_of_small_chunks_merge_across_partitions(spark):
     assert [(r["target"], r["n_rows"], r["n_distinct"]) for r in got] == [("one", 5000, 11)]
 
 
+def test_results_come_through_the_offsets(spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    rng = random.Random(2)
+    rows = [(str(i), f"s{rng.randrange(400)}", rng.choice(["one", "one", "two"]), "calls", "", 0) for i in range(6000)]
+    want = brute(rows)
+    got = {r["target"]: r["n_distinct"] for r in K.distinct_per_key(made(spark, rows, 8), "target", ["source", K.edge_kind("kind")], 50, 4).collect()}
+    assert got == want
+    whole = K._states
+    monkeypatch.setattr(K, "_states", lambda offsets, n: whole(type("Shifted", (), {"value": {k: (0, b) for k, (_, b) in offsets.value.items()}})(), n))
+    lost = {r["target"]: r["n_distinct"] for r in K.distinct_per_key(made(spark, rows, 8), "target", ["source", K.edge_kind("kind")], 50, 4).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert lost != want
+
+
+def test_states_of_a_key_are_one_per_chunk(spark):
+    df = made(spark, [(str(i), f"s{i}", "one", "calls", "", 0) for i in range(1000)], 3)
+    seen = []
+    whole = K._merged
+    try:
+        K._merged = lambda states, *by: seen.append(whole(states, *by)) or seen[-1]
+        K.distinct_per_key(df, "target", ["source"], 10, 8).collect()
+    finally:
+        K._merged = whole
+    assert len(seen) == 4  # 100 chunks, then 13, 2 and 1 groups of at most eight
+
+
 def test_empty(spark):
     assert K.in_degrees(made(spark, [])).collect() == []
 
