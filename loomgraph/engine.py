@@ -179,7 +179,7 @@ class Engine:
     def run_check(self, files: list[str]) -> dict[str, DataFrame]:
         """Everything that a change of ``files`` since the earlier graph raises."""
         b, f = self._before(), self._files(files)
-        found = C.signals(f, G.with_ends(self.edges, self.nodes, "file"))
+        found = C.signals(f, self.nodes, self.edges, b.edges)
         seeds = self.nodes.join(f, "file", "left_semi").select("id")
         now, was = Y.components(self.edges), Y.components(b.edges)
         return {

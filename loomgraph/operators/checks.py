@@ -15,9 +15,9 @@ from loomgraph.operators.traverse import layers
 from loomgraph.plans.durable import Workspace
 
 # Paths of migrations, of formats that others read, and of configuration.
-MIGRATION = r"(?i)(migrations?/|migrate|alembic/|flyway|liquibase|schema\.sql|\.ddl$)"
-SERIALIZATION = r"(?i)(serializ|\.proto$|schema|\.avsc$|dto)"
-CONFIGURATION = r"(?i)(config|settings|\.ya?ml$|\.toml$|\.ini$|\.env|\.properties$|dockerfile|\.conf$)"
+MIGRATION = (r"migrations?/", r"alembic/", r"\b\d{4,}_.*\.(py|sql)$", r"\.sql$", r".*schema.*\.(py|sql)$", r"\bschema\.sql\b", r"\bmigrate\b.*\.(py|sql)$")
+SERIALIZATION = (r"\.proto$", r"\.fbs$", r"\.avsc$", r"\.thrift$", r"\.capnp$")
+CONFIGURATION = (r"\.yaml$", r"\.yml$", r"\.toml$", r"\.json$", r"\.ini$", r"\.cfg$", r"\.env$", r"\.env\.", r"settings\.py$", r"config\.py$", r"\.conf$")
 #: Signal levels that are violations besides 5, which always is.
 DEFAULT_ROUTING = {4: True, 3: False, 2: False}
 #: Linked pairs up to which preflight sends the graph to every task.
@@ -133,19 +133,59 @@ def fan_in_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per.withColumn("risk", risk)
 
 
-def signals(files: DataFrame, deep_edges: DataFrame | None = None) -> DataFrame:
-    """``file, level, reason`` of changed files (``file``): 5 for migrations, formats and configuration.
+def touched(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """``path`` of each path of ``paths`` that is a changed one of ``files`` (``file``), ends in one or lies below one.
 
-    With ``deep_edges`` (canonical edges joined to files, columns source_file
-    and coupling_depth), a changed file with edges of depth 4 raises 4, of depth
-    3 or more 3.
+    Whole parts are compared: each path meets the changed ones by its heads and
+    tails, so the comparison is an equi-join.
+    """
+    parts = F.split("path", "/")
+    steps = F.sequence(F.lit(1), F.size(parts))
+    ends = F.array_distinct(F.concat(F.transform(steps, lambda k: F.array_join(F.slice(parts, 1, k), "/")), F.transform(steps, lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))))
+    runs = paths.where("path is not null").select("path").distinct().select("path", F.explode(ends).alias("file"))
+    changed = files.select(F.regexp_replace("file", "/+$", "").alias("file")).where("file <> ''").distinct()
+    return runs.join(changed, "file", "left_semi").select("path").distinct()
+
+
+def signals(files: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, before: DataFrame | None = None, flows: DataFrame | None = None, cycles: bool = True) -> DataFrame:
+    """``level, reason, file, source, target, n`` of what changed files (``file``) and a changed graph raise.
+
+    5: a migration, a format or configuration among the files. 4: more edges of
+    depth 4 than ``before`` (earlier edges; n is how many more), or with
+    ``flows`` (``what, names`` of data flow) triggers, awaits and sequences in
+    it. 3: every edge of depth 3 or more that begins in a changed file, or with
+    ``flows`` (which have columns file, scope) the variables that one scope
+    writes and another reads. 2: more circles than ``before``. Without a graph,
+    only 5; without an earlier one neither 4 nor 2 is raised. Fields that a
+    level does not have are empty texts.
     """
     f = files.select("file").where("file is not null").distinct()
-    reasons = F.array(F.when(F.col("file").rlike(MIGRATION), "migration"), F.when(F.col("file").rlike(SERIALIZATION), "serialization"), F.when(F.col("file").rlike(CONFIGURATION), "configuration"))
-    out = f.select("file", F.lit(5).alias("level"), F.explode(F.filter(reasons, lambda x: x.isNotNull())).alias("reason"))
-    if deep_edges is not None:
-        deep = deep_edges.where("coupling_depth >= 3").groupBy(F.col("source_file").alias("file")).agg(F.max("coupling_depth").alias("d"))
-        out = out.unionByName(f.join(deep, "file").select("file", F.when(F.col("d") >= 4, 4).otherwise(3).alias("level"), F.when(F.col("d") >= 4, "temporal").otherwise("shared").alias("reason")))
+    any_of = lambda ps: F.col("file").rlike("|".join(f"(?:{p})" for p in ps))
+    reasons = F.array(F.when(any_of(MIGRATION), "migration"), F.when(any_of(SERIALIZATION), "serialization"), F.when(any_of(CONFIGURATION), "configuration"))
+    none, one = F.lit(""), F.lit(1).cast("long")
+    out = f.select(F.lit(5).alias("level"), F.explode(F.filter(reasons, lambda x: x.isNotNull())).alias("reason"), "file", none.alias("source"), none.alias("target"), one.alias("n"))
+    if edges is None or nodes is None:
+        return out
+    row = lambda level, reason: (F.lit(level).alias("level"), F.lit(reason).alias("reason"), none.alias("file"))
+    deep = lambda e: e.agg(F.coalesce(F.sum(F.when(F.col("coupling_depth") >= 4, 1).otherwise(0)), F.lit(0)).cast("long").alias("k"))
+    if flows is not None:
+        timed = flows.where("what in ('triggers', 'awaits', 'sequences')").agg(F.coalesce(F.sum(F.size("names")), F.lit(0)).cast("long").alias("n"))
+        used = flows.where("what in ('reads', 'writes')").select("file", "scope", "what", F.explode("names").alias("var")).groupBy("file", "var").agg(F.count_distinct("scope").alias("scopes"), F.max((F.col("what") == "writes").cast("int")).alias("w"), F.max((F.col("what") == "reads").cast("int")).alias("r"))
+        shared = used.where("scopes > 1 and w = 1 and r = 1").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(timed.where("n > 0").select(*row(4, "temporal"), none.alias("source"), none.alias("target"), "n"))
+        out = out.unionByName(shared.where("n > 0").select(*row(3, "shared"), none.alias("source"), none.alias("target"), "n"))
+    else:
+        if before is not None:
+            more = deep(edges).crossJoin(deep(before).withColumnRenamed("k", "was"))  # single rows
+            out = out.unionByName(more.where("k > was").select(*row(4, "temporal"), none.alias("source"), none.alias("target"), (F.col("k") - F.col("was")).alias("n")))
+        near = nodes.join(touched(f, nodes.select(F.col("file").alias("path"))).withColumnRenamed("path", "file"), "file", "left_semi").select(F.col("id").alias("source"))
+        out = out.unionByName(edges.where("coupling_depth >= 3").join(near, "source", "left_semi").select(*row(3, "shared"), "source", "target", one.alias("n")))
+    if before is not None and cycles:
+        from loomgraph.operators.cycles import components
+
+        count = lambda e, name: components(e).agg(F.count_distinct("scc").alias(name))
+        more = count(edges, "k").crossJoin(count(before, "was"))  # single rows
+        out = out.unionByName(more.where("k > was").select(*row(2, "cycles"), none.alias("source"), none.alias("target"), (F.col("k") - F.col("was")).alias("n")))
     return out
 
 
@@ -213,7 +253,7 @@ def density_health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def is_test():
     """Whether a node (columns file, name) belongs to tests."""
-    return F.coalesce(F.lower("file").contains("test") | F.lower("file").contains("spec"), F.lit(False)) | F.coalesce(F.col("name").rlike(r"^(test|it_|should_)|_test"), F.lit(False))
+    return F.coalesce(F.lower("file").contains("test") | F.lower("file").contains("spec"), F.lit(False)) | F.coalesce(F.lower("name").rlike(r"^(test|it_|should_)|_test"), F.lit(False))
 
 
 def dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -306,7 +306,7 @@ def extract_file(path: str, source: str | None) -> list[dict]:
     mod = module_id(path)
     language = LANGUAGES.get(path.rpartition(".")[2].lower())
     _node(out, path, mod, mod.rpartition(".")[2], "file")
-    if language is None or source is None or len(source) > MAX_BYTES:
+    if language is None or source is None or len(source.encode()) > MAX_BYTES:
         why = "unknown language" if language is None else "no text" if source is None else "too large"
         out.append({"rec": "error", "id": mod, "location": path, "name": why})
         return out
@@ -338,20 +338,30 @@ def extract_file(path: str, source: str | None) -> list[dict]:
 
 
 _ARROW = {"depth": pa.int32(), "delay": pa.float64(), "detail": pa.list_(pa.string())}
+_FILE = pa.list_(pa.struct([(f, _ARROW.get(f, pa.string())) for f in _FIELDS]))
 
 
 def _records(batches):
     for b in batches:
         paths, texts = b.column("path").to_pylist(), b.column("source").to_pylist()
         for at in range(0, len(paths), 200):
-            rows = [r for p, s in zip(paths[at : at + 200], texts[at : at + 200]) for r in extract_file(p, s)]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f, 0 if f == "depth" else None) for r in rows], _ARROW.get(f, pa.string())) for f in _FIELDS], names=_FIELDS)
+            files = [[{f: r.get(f, 0 if f == "depth" else None) for f in _FIELDS} for r in extract_file(p, s)] for p, s in zip(paths[at : at + 200], texts[at : at + 200])]
+            yield pa.RecordBatch.from_arrays([b.column("path").slice(at, 200), b.column("o").slice(at, 200), pa.array(files, _FILE)], names=["path", "o", "records"])
 
 
 def records(sources: DataFrame) -> DataFrame:
-    """All records of the current text of each path (latest mtime); see the functions below for views of them."""
-    rows = sources.where("path is not null").groupBy("path").agg(F.max_by("source", F.struct(F.col("mtime"), F.length("source"), F.xxhash64("source"))).alias("source"))
-    return rows.mapInArrow(_records, RECORD)
+    """All records of the current text of each path; see the functions below for views of them.
+
+    The row with the latest mtime is current (null is the earliest), of equal
+    ones that with the longest text. Every row is reduced to records where it
+    is read, and only these are shuffled, never texts.
+    """
+    order = F.struct("mtime", F.length("source").alias("n"), F.xxhash64("source").alias("h"))
+    rows = sources.where("path is not null").select("path", "source", order.alias("o"))
+    stamp = sources.schema["mtime"].dataType.simpleString()
+    fields = ", ".join("{}: {}".format(*c.split()) for c in RECORD.split(", "))
+    files = rows.mapInArrow(_records, f"path string, o struct<mtime: {stamp}, n: int, h: bigint>, records array<struct<{fields}>>")
+    return files.groupBy("path").agg(F.max_by("records", "o").alias("records")).select(F.explode("records").alias("r")).select("r.*")
 
 
 def nodes(rec: DataFrame) -> DataFrame:

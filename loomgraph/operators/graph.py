@@ -130,32 +130,44 @@ def without_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def resolve_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``target, resolved, candidates`` of each raw target name that some node answers to.
-
-    Candidates are the nodes whose id ends in the same last part. A single one
-    is taken; of several, those whose dotted id has the raw name, of at least
-    two parts, as its tail, the one with the most parts, then the least id.
-    Raw names are made distinct first, so a frequent name costs no more than a
-    rare one; candidates are ranked by an aggregate with a map-side combine.
+def resolve_references(nodes: DataFrame, references: DataFrame) -> DataFrame:
+    """``target, resolved, candidates`` of each raw name of ``references`` (``target``) that some node answers to.
+
+    Candidates are the nodes whose name ends in the same last part. A single
+    one is taken; of several, those whose dotted id has the raw name, of at
+    least two parts, as its tail, the one with the most parts, then the least
+    id. Raw names are made distinct first, so a frequent name costs no more
+    than a rare one; candidates are ranked by an aggregate with a map-side
+    combine. Node ids and nulls are no raw names.
     """
-    raw = edges.select("target").distinct().join(nodes.select(F.col("id").alias("target")), "target", "left_anti")
-    named = nodes.select("id", short_name("id").alias("short"))
+    raw = references.select("target").where("target is not null").distinct().join(nodes.select(F.col("id").alias("target")), "target", "left_anti")
+    named = nodes.select("id", short_name(F.coalesce("name", "id")).alias("short"))
     single = named.groupBy("short").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("only"))
     raw = raw.withColumn("short", short_name("target")).join(single, "short")
     one = raw.where("candidates = 1").select("target", F.col("only").alias("resolved"), "candidates")
     # A name without a dot cannot be the tail of two parts, so only qualified names meet several candidates.
     many = raw.where("candidates > 1 and instr(target, '.') > 0").select("target", "short", "candidates").join(named, "short")
     many = many.where(F.col("id").endswith(F.concat(F.lit("."), F.col("target"))))
-    best = many.groupBy("target").agg(F.max_by("id", F.struct(F.size(F.split("id", r"\.")), F.lit(0))).alias("x"), F.max(F.size(F.split("id", r"\."))).alias("parts"), F.first("candidates").alias("candidates"))
-    best = many.join(best.select("target", "parts"), "target").where(F.size(F.split("id", r"\.")) == F.col("parts")).groupBy("target").agg(F.min("id").alias("resolved"), F.first("candidates").alias("candidates"))
-    return one.unionByName(best)
+    # The most parts, then the least id: negative, so that both are a minimum.
+    best = many.groupBy("target").agg(F.min(F.struct((-F.size(F.split("id", r"\."))).alias("parts"), "id")).alias("best"), F.first("candidates").alias("candidates"))
+    return one.unionByName(best.select("target", F.col("best.id").alias("resolved"), "candidates"))
+
+
+def resolve_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``target, resolved, candidates`` of each raw target name, by the rules of ``resolve_references``."""
+    return resolve_references(nodes, edges.select("target"))
 
 
 def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Canonical edges with raw targets replaced by the nodes that they name, made distinct again."""
-    found = resolve_targets(nodes, edges).select("target", "resolved")
-    e = edges.join(found, "target", "left").withColumn("target", F.coalesce("resolved", "target")).drop("resolved")
+    """Canonical edges with raw names at either end replaced by the nodes that they name, made distinct again.
+
+    As soon as one end of an edge names nothing, the edge stays as it is.
+    """
+    found = resolve_references(nodes, edges.select(F.explode(F.array("source", "target")).alias("target")))
+    found = found.select("target", "resolved").unionByName(nodes.select(F.col("id").alias("target"), F.col("id").alias("resolved")))
+    e = edges.join(found.select(F.col("target").alias("source"), F.col("resolved").alias("s")), "source", "left").join(found.withColumnRenamed("resolved", "t"), "target", "left")
+    both = F.col("s").isNotNull() & F.col("t").isNotNull()
+    e = e.withColumns({"source": F.when(both, F.col("s")).otherwise(F.col("source")), "target": F.when(both, F.col("t")).otherwise(F.col("target"))})
     return e.groupBy("source", "target", "kind").agg(F.min("coupling_depth").alias("coupling_depth"), F.min("temporal_delay_sec").alias("temporal_delay_sec"))
 
 

@@ -43,9 +43,13 @@ def file_diff(old: DataFrame, new: DataFrame, near: int = NEAR_LINES) -> DataFra
 
 
 def keep_attributes(new: DataFrame, old: DataFrame, diff: DataFrame) -> DataFrame:
-    """New nodes with the community of the node that they continue, where they have none."""
-    was = diff.where("change = 'updated'").select(F.col("new_id").alias("id"), "old_id").join(old.select(F.col("id").alias("old_id"), F.col("community_id").alias("_c")), "old_id").groupBy("id").agg(F.min("_c").alias("_c"))
-    return new.join(was, "id", "left").withColumn("community_id", F.coalesce("community_id", "_c")).drop("_c")
+    """New nodes with every column of ``old``: where they have no value, that of the node that they continue."""
+    own = ("id", "name", "kind", "location")
+    more = [c for c in old.columns if c not in own]
+    was = old.select(F.col("id").alias("old_id"), F.struct(*more).alias("_was")) if more else old.select(F.col("id").alias("old_id"), F.lit(None).alias("_was"))
+    was = diff.where("change = 'updated'").select(F.col("new_id").alias("id"), "old_id").join(was, "old_id").groupBy("id").agg(F.min_by("_was", "old_id").alias("_was"))
+    value = lambda c: F.coalesce(F.col(c), F.col("_was")[c]) if c in new.columns else F.col("_was")[c]
+    return new.join(was, "id", "left").select(*own, *[value(c).alias(c) for c in more])
 
 
 def replace_files(nodes: DataFrame, edges: DataFrame, changed: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:

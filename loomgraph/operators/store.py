@@ -78,13 +78,18 @@ def history(nodes: DataFrame, edges: DataFrame, events: DataFrame, per_node: int
 def late_entries(events: DataFrame, hours: int = 24) -> DataFrame:
     """``id, timestamp, behind_s`` of entries that lie more than ``hours`` behind one with a smaller id.
 
-    The largest time before each entry is found with one value per block of ids
-    and a window within blocks, so no task orders the whole timeline.
+    The largest time before each entry is found with one value per block of ids,
+    one per block of blocks, and a window within each, so no task orders the
+    whole timeline.
     """
     e = latest(events).select("id", "timestamp")
-    block = F.floor(F.col("id") / 4096)
-    tops = e.groupBy(block.alias("block")).agg(F.max("timestamp").alias("top"))
-    before = tops.withColumn("carried", F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "carried")
+    block, upper = F.floor(F.col("id") / 4096), F.floor(F.col("block") / 4096)
+    tops = e.groupBy(block.alias("block")).agg(F.max("timestamp").alias("top")).withColumn("upper", upper)
+    # Blocks of blocks: a task orders 4,096 values, and the last one a value for every 16 million ids.
+    whole = tops.groupBy("upper").agg(F.max("top").alias("top"))
+    above = whole.select("upper", F.max("top").over(Window.orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
+    near = F.max("top").over(Window.partitionBy("upper").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = tops.withColumn("near", near).join(above, "upper").select("block", F.greatest("near", "far").alias("carried"))
     inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     j = e.withColumn("block", block).withColumn("own", F.max("timestamp").over(inside)).join(before, "block")
     behind = F.unix_seconds(F.greatest("own", "carried").cast("timestamp")) - F.unix_seconds(F.col("timestamp").cast("timestamp"))
@@ -127,32 +132,59 @@ def latest_trace(traces: DataFrame) -> DataFrame:
 class GraphStore:
     """Versions of a graph in one folder; a small pointer file names the current one.
 
-    A version is complete before the pointer moves, so readers see all of it or
-    none. ``keep`` older versions stay.
+    A version is complete before the pointer moves, and the pointer is replaced
+    by a rename, so readers see the old version or the new one. ``keep`` older
+    versions stay. The pointer also keeps the number of the last batch that was
+    applied, so that a batch is not applied twice, whichever process does it.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2) -> None:
         self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
 
+    def _files(self, name: str):
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(conf), conf
+
     def _pointer(self) -> dict:
+        path, fs, _ = self._files("current")
+        if not fs.exists(path):
+            return {"version": None, "older": [], "batch": None}
+        stream = fs.open(path)
         try:
-            rows = self.spark.read.text(f"{self.folder}/current").collect()
-        except Exception:
-            return {"version": None, "older": []}
-        return json.loads(rows[0]["value"])
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _point(self, to: dict) -> None:
+        jvm = self.spark._jvm
+        fresh, fs, conf = self._files(f"current.{time.time_ns()}")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(json.dumps(to).encode()))
+        stream.close()
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(self._files("current")[0]), how)
 
     def version(self) -> str | None:
         return self._pointer()["version"]
 
-    def save(self, nodes: DataFrame, edges: DataFrame) -> str:
+    def batch(self) -> int | None:
+        """The number of the last batch that was applied or refused."""
+        return self._pointer()["batch"]
+
+    def skip(self, batch: int) -> None:
+        """Note a batch as done without a new version."""
+        self._point({**self._pointer(), "batch": batch})
+
+    def save(self, nodes: DataFrame, edges: DataFrame, batch: int | None = None) -> str:
         """Write a new version and move the pointer to it."""
         at = self._pointer()
         name = f"v{time.time_ns()}"
         nodes.write.parquet(f"{self.folder}/{name}/nodes")
         edges.write.parquet(f"{self.folder}/{name}/edges")
         older = ([at["version"]] if at["version"] else []) + at["older"]
-        text = json.dumps({"version": name, "older": older[: self.keep]})
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+        self._point({"version": name, "older": older[: self.keep], "batch": at["batch"] if batch is None else batch})
         for gone in older[self.keep :]:
             drop_path(self.spark, f"{self.folder}/{gone}")
         return name

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that hold nothing written by hand.
-SKIPPED = (".git", ".hg", ".svn", ".idea", ".vscode", ".venv", "venv", "env", "node_modules", "bower_components", "__pycache__", ".mypy_cache", ".pytest_cache", "dist", "build", "out", "target", "bin", "obj", "vendor", "vendored", "third_party", "coverage", ".next", ".nuxt", ".cache", "tests", "test", "fixtures", "site-packages")
+SKIPPED = (".git", "__pycache__", "node_modules", "venv", ".venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".hg", ".svn", "dist", "build", "target", ".eggs", "*.egg-info", "htmlcov", ".ruff_cache", ".next", ".nuxt", "out", ".angular", ".cache", "coverage", "vendored", "generated", "tests")
 MAX_BYTES = 1 << 20
 
 NODE_SCHEMA = "id string, name string, kind string, location string, properties string, out_degree long, in_degree long, position array<float>, community_id int"

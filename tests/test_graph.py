@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import checks as C
 from loomgraph.operators import community as M
@@ -96,6 +97,26 @@ def test_names_resolve(spark):
     assert G.dangling(n, e).count() == 3
 
 
+def test_both_ends_resolve(spark):
+    n, e = graph(spark, [("fn_a", "fn_b"), ("fn_a", "nowhere")], nodes=["lib.fn_a", "lib.fn_b"])
+    got = G.resolve(n, e)
+    assert rows(got.select("source", "target")) == {("lib.fn_a", "lib.fn_b"), ("fn_a", "nowhere")}
+    assert rows(G.without_dangling(n, got).select("source", "target")) == {("lib.fn_a", "lib.fn_b")}
+
+
+def test_signals_of_a_changed_graph(spark):
+    f = spark.createDataFrame([("m",), ("config.yaml",), ("001/0001_x.sql",), ("x.thrift",), ("src/dto/settings.js",)], "file string")
+    n, before = graph(spark, [("a", "b"), ("b", "c")])
+    _, after = graph(spark, [("a", "b"), ("b", "a"), ("b", "c")])
+    after = after.withColumn("coupling_depth", F.when(F.col("target") == "c", 4).otherwise(1))
+    got = rows(C.signals(f, n, after, before).select("level", "reason", "file", "source", "target", "n"))
+    assert {x for x in got if x[0] == 5} == {(5, "configuration", "config.yaml", "", "", 1), (5, "migration", "001/0001_x.sql", "", "", 1), (5, "serialization", "x.thrift", "", "", 1)}
+    assert {x for x in got if x[0] != 5} == {(4, "temporal", "", "", "", 1), (3, "shared", "", "b", "c", 1), (2, "cycles", "", "", "", 1)}
+    assert rows(C.signals(f.where("file = 'm'"), n, before, before)) == set()
+    flows = spark.createDataFrame([("a.py", "f", "writes", ["x", "y"]), ("a.py", "g", "reads", ["x"]), ("a.py", "g", "triggers", ["start", "start"])], "file string, scope string, what string, names array<string>")
+    assert {x[:2] + x[5:] for x in rows(C.signals(f.where("file = 'm'"), n, after, before, flows, cycles=False).select("level", "reason", "file", "source", "target", "n"))} == {(4, "temporal", 2), (3, "shared", 1)}
+
+
 def test_policy(spark):
     n, e = graph(spark, [("a", "b", "imports"), ("a", "c", "imports"), ("a", "b", "calls")])
     rule = {"name": "r", "source": "m/a*", "target": "**/b.py"}
