@@ -4,8 +4,8 @@ The familiar-word formula. Words are ranked by the number of documents that
 hold them, over all documents; a text is the more demanding the larger the
 share of its words outside the list of the first words and the longer its
 sentences. As no single length of the list separates all levels, the shares
-outside several lists (nested, so one rank per word gives them all) and the
-sentence lengths enter a multinomial logistic scale fitted to judged documents.
+outside several lists (nested, so one rank per word gives them all) and the mean
+sentence length enter a multinomial logistic scale fitted to judged documents.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ LEVELS = 4
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
-_LENGTHS = (6, 9, 12, 16, 20)
 _FLUSH = 500_000
 
 
@@ -71,18 +70,15 @@ def _features(ranks):
                 if n < MIN_WORDS:
                     continue
                 words = _WORD.findall(t.lower())
-                if not words:
-                    continue
                 at = np.fromiter((rank.get(w, last) for w in words), np.int64, len(words))
-                # How many words lie in front of each end of list.
+                # How many words lie in front of each end of list; without any letters all are outside.
                 hist = np.bincount(np.searchsorted(edges, at, side="right"), minlength=size + 1)
-                outside = 1 - np.cumsum(hist[:size]) / len(words)
-                lengths = np.array([len(s.split()) for s in _SENTENCE.split(t) if s and not s.isspace()])
-                mean = lengths.mean()
+                outside = 1 - np.cumsum(hist[:size]) / max(1, len(words))
+                sentences = sum(1 for s in _SENTENCE.split(t) if s and not s.isspace()) or 1
                 ids.append(d)
-                feats.append(np.concatenate([outside, [mean, np.log(mean), sum(map(len, words)) / len(words)], [(lengths <= k).mean() for k in _LENGTHS]]))
+                feats.append(np.concatenate([outside, [n / sentences, np.log(n / sentences)]]))
             flat = np.concatenate(feats) if feats else np.zeros(0)
-            ends = np.arange(len(ids) + 1, dtype=np.int32) * (size + 3 + len(_LENGTHS))
+            ends = np.arange(len(ids) + 1, dtype=np.int32) * (size + 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "f"])
 
     return run
@@ -129,7 +125,9 @@ def familiar_words(docs: DataFrame, size: int = LISTS[-1]) -> dict[str, int]:
 def reading_levels(docs: DataFrame, labels: DataFrame, max_judged: int = MAX_JUDGED) -> DataFrame:
     """``doc_id, level`` of each English prose document with at least 60 words.
 
-    Document frequencies cover all documents, whatever their language. The
+    Words for the 60 are what stands between white space; a document without a
+    letter has no familiar word and is judged by its sentences alone. Document
+    frequencies cover all documents, whatever their language. The
     scale is fitted to at most ``max_judged`` documents with judgements; of
     several judgements of one document the median counts, rounded down, and
     judgements out of range or null do not count. Without any judgement no

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import CONFLICT, Parser
+from .base import CONFLICT, Parser, parsed
 from .go import Go
 from .java import Java
 from .python import Python
@@ -17,8 +17,7 @@ EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javas
 
 def errors(language: str, source: str) -> list[tuple[int, str]]:
     """All errors of a text as (line, why), the first first; none if it is in the language."""
-    parser = PARSERS[language](source)
-    found = parser.parse()
+    parser, found = parsed(PARSERS[language], source)
     text = parser.source
     out, line, at = [], 1, 0
     for place, why in found:

@@ -9,6 +9,11 @@ parsing goes on, so all errors of a file are found.
 from __future__ import annotations
 
 import re
+import sys
+import threading
+
+#: Frames of a first try, and of a second one for deeply nested texts, which has a thread and a stack of its own.
+FRAMES, DEEP_FRAMES, DEEP_STACK = 20_000, 5_000_000, 1 << 29
 
 
 class Fault(Exception):
@@ -166,9 +171,6 @@ class Parser:
         except Fault as x:
             self.error(x.at, x.why)
             self.recover(began)
-        except RecursionError:
-            self.error(self.places[min(self.i, len(self.places) - 1)], "nested too deeply")
-            self.i = len(self.kinds) - 1
 
     def program(self) -> None:
         raise NotImplementedError
@@ -189,3 +191,34 @@ class Parser:
                 if t != pairs.pop():
                     self.i -= 1
                     self.fail("bracket without its partner")
+
+
+def parsed(parser: type[Parser], source: str) -> tuple[Parser, list[tuple[int, str]]]:
+    """A parser and the errors that it found, however deeply the text is nested."""
+    was = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(was, FRAMES))
+    try:
+        p = parser(source)
+        return p, p.parse()
+    except RecursionError:
+        pass
+    finally:
+        sys.setrecursionlimit(was)
+    out: list = []
+
+    def deep() -> None:
+        p = parser(source)
+        out.extend((p, p.parse()))
+
+    size = threading.stack_size(DEEP_STACK)
+    sys.setrecursionlimit(DEEP_FRAMES)
+    try:
+        t = threading.Thread(target=deep)
+        t.start()
+        t.join()
+    finally:
+        threading.stack_size(size)
+        sys.setrecursionlimit(was)
+    if not out:
+        raise RecursionError("a text nested more deeply than the memory for frames allows")
+    return out[0], out[1]

@@ -204,15 +204,27 @@ class Go(Parser):
 
     def parameters(self) -> None:
         self.need("(")
+        named, bare = False, 0
         while not self.eat(")"):
+            began = self.i
             self.eat("...")
             self.type()
             if self.t not in (",", ")"):
                 self.eat("...")
                 self.type()
+                if not named and bare > 1:
+                    self.fail("parameters with and without names")
+                named, bare = True, 0
+            else:
+                # Names that share the type which follows, or a type alone (2).
+                bare = max(bare, 1 if self.i == began + 1 and self.kinds[began] == "n" else 2)
+                if named and bare > 1:
+                    self.fail("parameters with and without names")
             if not self.eat(","):
                 self.need(")")
-                return
+                break
+        if named and bare:
+            self.fail("parameters with and without names")
 
     def type(self) -> None:
         t, k = self.t, self.kinds[self.i]

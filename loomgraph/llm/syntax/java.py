@@ -525,6 +525,7 @@ class Java(Parser):
         self.i += 1
         self.paren()
         self.need("{")
+        style = None
         while not self.eat("}"):
             if self.eat("case"):
                 while True:
@@ -536,6 +537,9 @@ class Java(Parser):
                     self.expression()
             else:
                 self.need("default")
+            style = style or self.t
+            if self.t in ("->", ":") and self.t != style:
+                self.fail("arrows and colons in one switch")
             if self.eat("->"):
                 if self.t == "{":
                     self.block()
@@ -755,12 +759,16 @@ class Java(Parser):
             if self.t == "{":
                 self.class_body(False)
         elif self.t == "[":
+            sized = False
             while self.eat("["):
                 if not self.eat("]"):
                     self.expression()
                     self.need("]")
-            if self.t == "{":
+                    sized = True
+            if self.t == "{" and not sized:
                 self.initializer()
+            elif not sized:
+                self.fail("an array without a size")
         else:
             self.fail()
 

@@ -707,6 +707,8 @@ class Rust(Parser):
             self.jump()
             return
         self.binary(p + 1, operand)
+        if p == 4 and self.BINARY.get(self.operator()) == 4:
+            self.fail("comparisons in a row")
 
     def unary(self) -> str:
         t = self.t

