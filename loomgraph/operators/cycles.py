@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.durable import Workspace
 
-#: Edges of the trimmed graph up to which one task finds the components.
+#: Edges up to which one task finds the components.
 ONE_TASK = 200_000
 
 
@@ -58,33 +58,38 @@ def _tarjan(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "scc"])
 
 
-def _trim(ws: Workspace, pairs: DataFrame) -> DataFrame:
-    """Drop edges that begin where none ends or end where none begins, again and again."""
+def _trim(ws: Workspace, pairs: DataFrame, enough: int) -> tuple[DataFrame, int]:
+    """Drop edges that begin where none ends or end where none begins, and count what is left.
+
+    Again and again, until ``enough`` are left or a round drops less than a
+    tenth: long chains would take a round for each link, and what finds the
+    components needs no trimmed graph.
+    """
     left = ws.keep(pairs)
     n = left.count()
-    while True:
+    while n > enough:
         heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
         less = ws.keep(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi"))
         ws.drop(left)
         left, was, n = less, n, less.count()
-        if n == was:
-            return left
+        if n > 0.9 * was:
+            break
+    return left, n
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``id, scc`` of nodes on cycles of at least two nodes; scc is the least id of the component.
 
-    Edges outside cycles are trimmed away first. What is left goes to one task
-    if it is small (its size is counted); otherwise the least ids spread along
+    Edges outside cycles are trimmed away first if there are many. What is left
+    goes to one task if it is small (its size is counted); otherwise the least ids spread along
     the edges as colours, the nodes of a colour that lead back to its origin
     are a component, and the rest is trimmed and coloured again.
     """
     spark = edges.sparkSession
     ws = Workspace(spark, "scc")
-    left = _trim(ws, edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct())
+    left, n = _trim(ws, edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct(), one_task)
     found = None
     while True:
-        n = left.count()
         if n <= one_task:
             rest = left.groupBy().applyInPandas(_tarjan, "id string, scc string")
             return rest if found is None else found.unionByName(rest)
@@ -115,7 +120,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         part = ws.keep(part.join(name, "colour").select("id", "scc"))
         found = part if found is None else found.unionByName(part)
         gone = reached.select("id")
-        left = _trim(ws, left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        left, n = _trim(ws, left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), one_task)
 
 
 def classify(nodes: DataFrame, sccs: DataFrame, properties: DataFrame | None = None) -> DataFrame:

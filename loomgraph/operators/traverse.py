@@ -1,10 +1,11 @@
 """Breadth-first operators.
 
-Up to a few levels the whole walk is one plan: every level joins the frontier
-with the adjacency, makes the ids distinct and drops those seen before. Deeper
-walks cut the plan after each level with a table in the shared folder. Seeds
-are DataFrames, so one walk can start from many nodes; with a key column every
-key has a walk of its own.
+The adjacency is written once to the shared folder, and so is every level, so
+that no level plans or reads again what the ones before it made. A small
+frontier (its rows are counted) goes to the edges where they lie, which moves
+no edge and leaves no task with a hub's edges; a larger one is joined, hot
+nodes apart. Seeds are DataFrames, so one walk can start from many nodes; with
+a key column every key has a walk of its own.
 """
 
 from __future__ import annotations
@@ -13,30 +14,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.durable import Workspace
+from loomgraph.plans.skew import lookup_join
 
-#: Levels up to which a walk is one plan.
-UNROLLED = 4
+#: Rows of a frontier up to which it is sent to the edges.
+SMALL_FRONTIER = 100_000
 
 
-def layers(adj: DataFrame, seeds: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def layers(adj: DataFrame, seeds: DataFrame, depth: int, keys: tuple[str, ...] = (), small: int = SMALL_FRONTIER) -> DataFrame:
     """``*keys, id, depth`` of every node within ``depth`` steps of the seeds (``*keys, id``).
 
     A seed is at depth 0 whether it is a node or not. Null ids are no seeds.
     """
     by = [*keys, "id"]
-    seen = seeds.where("id is not null").select(*by).distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    ws = Workspace(adj.sparkSession, "layers") if depth > UNROLLED else None
-    hops = adj.select("src", "dst")
+    ws = Workspace(adj.sparkSession, "layers")
+    frontier = seen = ws.keep(seeds.where("id is not null").select(*by).distinct().withColumn("depth", F.lit(0)))
+    hops = ws.keep(adj.select("src", "dst").where("src <> dst")) if depth > 1 else adj.select("src", "dst").where("src <> dst")
     for level in range(1, depth + 1):
-        near = frontier.withColumnRenamed("id", "src").join(hops, "src").select(*keys, F.col("dst").alias("id")).distinct()
-        fresh = near.join(seen.select(*by), by, "left_anti").withColumn("depth", F.lit(level))
-        if ws:
-            fresh = ws.keep(fresh)
-            if fresh.isEmpty():
-                break
-        frontier = fresh
-        seen = seen.unionByName(fresh)
+        n = frontier.count()
+        if not n:
+            break
+        at = frontier.select(*keys, F.col("id").alias("src"))
+        if n <= small:
+            near = hops.join(F.broadcast(at), "src")
+        elif keys:
+            near = hops.join(at, "src")
+        else:
+            near = lookup_join(hops, at, "src", "inner")
+        near = near.select(*keys, F.col("dst").alias("id")).distinct()
+        frontier = ws.keep(near.join(seen.select(*by), by, "left_anti").withColumn("depth", F.lit(level)))
+        seen = seen.unionByName(frontier)
+    ws.drop(hops)
     return seen
 
 
