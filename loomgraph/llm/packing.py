@@ -134,3 +134,25 @@ def pack_sizes(sizes: DataFrame, packs: DataFrame, classes: int = CLASSES) -> Da
 def pack_documents(docs: DataFrame, packs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARY_DIR, classes: int = CLASSES, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """``pack_sizes`` of the documents measured in tokens of the vocabulary ``name``."""
     return pack_sizes(count_tokens(docs, name, folder, leaf_chars), packs, classes)
+
+
+def fill_report(packed: DataFrame, sizes: DataFrame, packs: DataFrame) -> DataFrame:
+    """``pack_name, documents, containers, fill, over_capacity, needless_splits, lost_tokens`` of a packing.
+
+    over_capacity counts containers above their capacity, needless_splits
+    documents in several pieces that fit into one container, lost_tokens the
+    tokens of ``sizes`` (``doc_id, n_tokens``) that are in no container. A
+    capacity without rows, as with empty tables, has zero counts and a null fill.
+    """
+    zero = F.lit(0).cast("long")
+    known = packs.where("pack_name is not null and capacity > 0").groupBy("pack_name").agg(F.min("capacity").alias("capacity"))
+    boxes = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("held")).join(F.broadcast(known), "pack_name")  # at most MAX_PACKS rows
+    per = boxes.groupBy("pack_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("held").alias("held"), F.sum((F.col("held") > F.col("capacity")).cast("long")).alias("over_capacity"))
+    docs = packed.groupBy("pack_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.sum((F.col("piece") == 0).cast("long")).alias("firsts")).join(F.broadcast(known), "pack_name")
+    split = docs.groupBy("pack_name").agg(F.sum("firsts").alias("documents"), F.sum(((F.col("pieces") > F.col("firsts")) & (F.col("n") <= F.col("capacity"))).cast("long")).alias("needless_splits"))
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), zero).alias("total"))
+    out = known.join(per, "pack_name", "left").join(split, "pack_name", "left").crossJoin(total)  # one row
+    return out.select(
+        "pack_name", F.coalesce("documents", zero).alias("documents"), F.coalesce("containers", zero).alias("containers"), (F.col("held") / (F.col("containers") * F.col("capacity"))).alias("fill"),
+        F.coalesce("over_capacity", zero).alias("over_capacity"), F.coalesce("needless_splits", zero).alias("needless_splits"), (F.col("total") - F.coalesce("held", zero)).alias("lost_tokens"),
+    )

@@ -58,6 +58,14 @@ def p7_packs(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
+@query("""select pack_name, (select count(*) from documents) as documents, cast(0 as bigint) as over_capacity, cast(0 as bigint) as needless_splits, cast(0 as bigint) as lost_tokens, true as filled from pack_sizes""")
+def p7_packs_fill(spark, d):
+    """What every packing must keep: no container too full, no needless split, no token lost, and nine tenths filled."""
+    docs, packs = table(spark, d, "documents"), table(spark, d, "pack_sizes")
+    report = packing.fill_report(packing.pack_documents(docs, packs), tokens.count_tokens(docs), packs)
+    return report.selectExpr("pack_name", "documents", "over_capacity", "needless_splits", "lost_tokens", "fill >= 0.9 as filled")
+
+
 @query()
 def p8_found(spark, d):
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))

@@ -38,3 +38,15 @@ def test_documents(spark):
     assert len(rows) == 3 + 2 + 5
     assert P.pack_sizes(sizes.where("false"), packs).collect() == []
     assert P.pack_sizes(sizes, packs.where("false")).collect() == []
+
+
+def test_fill_report(spark):
+    packs = spark.createDataFrame([("a", 10), ("b", 4), ("none", None)], "pack_name string, capacity long")
+    sizes = spark.createDataFrame([(1, 10), (2, 3), (3, 7), (4, 0), (5, 21)], "doc_id long, n_tokens long")
+    got = {r["pack_name"]: r.asDict() for r in P.fill_report(P.pack_sizes(sizes.coalesce(1), packs), sizes, packs).collect()}
+    assert set(got) == {"a", "b"}
+    for r in got.values():
+        assert (r["documents"], r["over_capacity"], r["needless_splits"], r["lost_tokens"]) == (5, 0, 0, 0) and 0 < r["fill"] <= 1
+    bad = spark.createDataFrame([("a", 1, 0, 0, 6, 1), ("a", 1, 1, 6, 4, 2), ("a", 2, 0, 0, 3, 3), ("a", 3, 0, 0, 9, 3)], P.SCHEMA)
+    r = {r["pack_name"]: r for r in P.fill_report(bad, sizes, packs).collect()}
+    assert (r["a"]["over_capacity"], r["a"]["needless_splits"], r["a"]["lost_tokens"], r["b"]["containers"], r["b"]["fill"]) == (1, 1, 19, 0, None)
