@@ -41,6 +41,7 @@ class Script(Parser):
         src, n, at, fresh = self.source, len(self.source), 0, True
         if src.startswith("#!"):
             at = src.find("\n") if "\n" in src else n
+        html = not self.ts and ("<!--" in src or "-->" in src)
         braces: list[str] = []
         heads: list[bool] = []
         while at < n:
@@ -48,7 +49,7 @@ class Script(Parser):
             if ch == " ":
                 at += 1
                 continue
-            if (ch == "<" and not self.ts and src.startswith("<!--", at)) or (ch == "-" and fresh and not self.ts and src.startswith("-->", at)):
+            if html and (src.startswith("<!--", at) or (fresh and src.startswith("-->", at))):
                 # Comments as scripts in pages write them.
                 at = src.find("\n", at) if "\n" in src[at:] else n
                 continue
@@ -143,10 +144,15 @@ class Script(Parser):
     def guarded(self, f) -> None:
         """One statement; a default value in an object that turned out to be no pattern is an error, too."""
         was, self.cover = self.cover, None
-        errors = len(self.errors)
-        super().guarded(f)
-        if self.cover is not None and len(self.errors) == errors:
-            self.error(self.cover, "default value outside of a pattern")
+        began = self.i
+        try:
+            f()
+        except Fault as x:
+            self.error(x.at, x.why)
+            self.recover(began)
+        else:
+            if self.cover is not None:
+                self.error(self.cover, "default value outside of a pattern")
         self.cover = was
 
     def module_item(self) -> None:
