@@ -21,7 +21,11 @@ CONFIGURATION = (r"\.yaml$", r"\.yml$", r"\.toml$", r"\.json$", r"\.ini$", r"\.c
 #: Signal levels that are violations besides 5, which always is.
 DEFAULT_ROUTING = {4: True, 3: False, 2: False}
 #: Linked pairs up to which preflight sends the graph to every task.
-PAIRS_IN_MEMORY = 4_000_000
+PAIRS_IN_MEMORY = 16_000_000
+#: Nodes at which its walks end; as many as a set of 16 bits holds.
+HUBS = 16
+#: Neighbours that walks look at together.
+WALKED = 1_000_000
 
 
 def pattern_to_regex(pattern: str) -> str:
@@ -69,8 +73,8 @@ def preflight(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int =
     total_impact sums, over the nodes of the file, how many nodes are within
     ``depth`` steps, the node itself included; risk is high above 100 further
     nodes, medium above 20. Up to ``in_memory`` linked pairs (counted) every
-    task has the whole graph and walks 64 nodes at a time; beyond it the walk
-    is by joins.
+    task has the whole graph and walks no further than its hubs; beyond it the
+    walk is by joins.
     """
     ws = Workspace(nodes.sparkSession, "preflight")
     seeds = ws.keep(nodes.join(files.select("file").distinct(), "file", "left_semi").select("file", F.col("id").alias("seed")))
@@ -88,41 +92,141 @@ def _ball_totals(ws: Workspace, pairs: DataFrame, seeds: DataFrame, depth: int)
     """``file, direct_nodes, total_impact`` of ``file, seed``, with the pairs ``a, b`` sent to every task as numbers."""
     spark = pairs.sparkSession
     numbers = ws.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("no")))
-    coded = pairs.join(numbers.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(numbers.select(F.col("id").alias("b"), F.col("no").alias("y")), "b").select("x", "y").toArrow()
-    x, y = coded["x"].to_numpy(), coded["y"].to_numpy()
-    known = np.unique(np.concatenate([x, y]))
-    x, y = np.searchsorted(known, x).astype(np.int32), np.searchsorted(known, y).astype(np.int32)
-    # Every node is its own neighbour, so a step keeps what was reached before.
-    own = np.arange(len(known), dtype=np.int32)
-    heads, tails = np.concatenate([x, y, own]), np.concatenate([y, x, own])
-    order = np.argsort(heads, kind="stable")
-    graph = spark.sparkContext.broadcast((known, tails[order], np.searchsorted(heads[order], np.arange(len(known) + 1))))
+    part = F.shiftright("no", 33)
+    sizes = dict(numbers.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect())
+    starts = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])])
+    dense = F.get(F.array(*[F.lit(int(k)) for k in starts]), part.cast("int")) + F.col("no").bitwiseAND(F.lit((1 << 33) - 1))
+    numbers = numbers.select("id", dense.cast("int").alias("no"))
+    coded = ws.keep(pairs.join(numbers.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(numbers.select(F.col("id").alias("b"), F.col("no").alias("y")), "b").select("x", "y"))
+    ways = coded.unionByName(coded.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    degrees = ways.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("k")).toArrow()
+    degree = np.zeros(int(starts[-1]), np.int64)
+    degree[degrees["x"].to_numpy()] = degrees["k"].to_numpy()
+    graph = Balls(ways.orderBy("x").select("y").toArrow()["y"].to_numpy(), degree, depth)
+    sent = spark.sparkContext.broadcast(graph)
 
     def run(batches):
-        known, near, begin = graph.value
         for b in batches:
-            names, no = b.column("file").to_pylist(), b.column("no")
-            lone = no.is_null().to_numpy(zero_copy_only=False)
-            at = np.searchsorted(known, no.fill_null(0).to_numpy())
-            rows = [(names[i], 1, 1) for i in np.flatnonzero(lone)]
-            linked = np.flatnonzero(~lone)
-            for k in range(0, len(linked), 64):
-                word = linked[k : k + 64]
-                bits = np.left_shift(np.uint64(1), np.arange(len(word), dtype=np.uint64))
-                reached = np.zeros(len(known), np.uint64)
-                for i, bit in zip(at[word], bits):
-                    reached[near[begin[i] : begin[i + 1]] if depth else i] |= bit
-                for _ in range(depth - 1):
-                    reached = np.bitwise_or.reduceat(reached[near], begin[:-1])
-                masks: dict = {}
-                for i, bit in zip(word, bits):
-                    masks.setdefault(names[i], []).append(bit)
-                rows += [(name, len(own), int(np.bitwise_count(reached & np.bitwise_or.reduce(own)).sum())) for name, own in masks.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[j] for r in rows], pa.int64()) for j in (1, 2))], names=["file", "n", "total"])
-
+            no = b.column("no")
+            linked = ~no.is_null().to_numpy(zero_copy_only=False)
+            total = np.ones(len(linked), np.int64)
+            total[linked] = sent.value.sizes(no.drop_null().to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(total)], names=["file", "total"])
+
+    # Seeds beside the same hubs go to the same task: what these cover is counted once.
+    bits = F.coalesce(*[F.when(F.col("y") == int(h), F.lit(1 << k)) for k, h in enumerate(graph.hubs)], F.lit(0))
+    beside = ways.groupBy(F.col("x").alias("no")).agg(F.bit_or(bits).alias("beside"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    placed = seeds.join(numbers.withColumnRenamed("id", "seed"), "seed", "left").select("file", "no").repartition(tasks, "file").sortWithinPartitions("file")
-    return placed.mapInArrow(run, "file string, n long, total long").groupBy("file").agg(F.sum("n").alias("direct_nodes"), F.sum("total").alias("total_impact"))
+    placed = ws.keep(seeds.join(numbers.withColumnRenamed("id", "seed"), "seed", "left").join(beside, "no", "left").select("file", "no", "beside"))
+    placed = placed.repartitionByRange(tasks, "beside", "no").sortWithinPartitions("beside", "no").select("file", "no")
+    return placed.mapInArrow(run, "file string, total long").groupBy("file").agg(F.count(F.lit(1)).alias("direct_nodes"), F.sum("total").alias("total_impact"))
+
+
+class Balls:
+    """How many nodes are within ``depth`` steps of a node, the node included, in a graph of numbered nodes.
+
+    Most of a ball lies behind a few hubs. Walks end at the ``HUBS`` nodes of most neighbours, and every node has, for
+    each number of steps, the set of hubs within it as bits. So a ball is what is near the hubs that the walk met (counted
+    over classes of nodes with equal bits, once for all seeds beside the same hubs) and what only the walk met.
+    """
+
+    def __init__(self, near: np.ndarray, degree: np.ndarray, depth: int) -> None:
+        """``near``: the neighbours of node 0, of node 1 and so on; ``degree``: how many each has, at least one."""
+        self.near, self.degree, self.depth, n = near, degree.astype(np.int32), depth, len(degree)
+        self.begin = np.cumsum(degree) - degree
+        self.hubs = np.argsort(-degree, kind="stable")[:HUBS]
+        self.within = [np.zeros(n, np.uint16)]
+        self.within[0][self.hubs] = np.left_shift(np.uint16(1), np.arange(len(self.hubs), dtype=np.uint16))
+        for _ in range(depth if n else 0):
+            last = self.within[-1]
+            self.within.append(np.bitwise_or.reduceat(last[near], self.begin) | last)
+        of_hub = self.within.pop() if depth and n else self.within[0]
+        self.hub_sizes = np.array([np.count_nonzero(of_hub & np.uint16(1 << k)) for k in range(len(self.hubs))], np.int64)
+        if depth > 1:
+            self.classes, self.counts = np.unique(np.stack(self.within[1:], 1), axis=0, return_counts=True)
+        if depth > 2:
+            self.rest, self.rest_of = np.unique(self.classes[:, :-1], axis=0, return_inverse=True)
+        # How many neighbours the walk from a node looks at; decides how many walks are made at a time.
+        self.cost = last = np.where(self.within[0] > 0, 0, degree).astype(np.float32)
+        for _ in range(depth - 1 if n else 0):
+            last = np.where(self.within[0] > 0, np.float32(0), np.add.reduceat(last[near], self.begin))
+            self.cost = self.cost + last
+        self.known: dict = {}
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        """The size of the ball around each of ``at``."""
+        bit = self.within[0][at]
+        out = np.ones(len(at), np.int64)
+        out[bit > 0] = self.hub_sizes[np.log2(bit[bit > 0]).astype(int)]
+        rest = np.flatnonzero(bit == 0)
+        if not self.depth or not len(rest):
+            return out
+        group = (np.cumsum(self.cost[at[rest]], dtype=np.float64) // WALKED).astype(np.int64)
+        for some in np.split(rest, np.flatnonzero(np.diff(group)) + 1):
+            out[some] = self._walk(at[some].astype(np.int64))
+        return out
+
+    def _walk(self, at: np.ndarray) -> np.ndarray:
+        n, depth = len(self.degree), self.depth
+        met = np.zeros((depth, len(at)), np.uint16)  # hubs by the step that met them
+        s, x = np.arange(len(at)), at
+        seen = s * n + x
+        layers = [(s, x)]
+        for step in range(1, depth + 1):
+            many = self.degree[x]
+            y = self.near[np.repeat(self.begin[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            s = np.repeat(s, many)
+            if step == depth:
+                open_ = ~self._covered(met, s, y)
+                s, y = s[open_], y[open_]
+            new = np.sort(s * n + y)
+            new = new[np.diff(new, prepend=-1) > 0]
+            new = new[seen[np.minimum(np.searchsorted(seen, new), len(seen) - 1)] != new]
+            s, x = np.divmod(new, n)
+            layers.append((s, x))
+            if step < depth:
+                seen = np.sort(np.concatenate([seen, new]))
+                bit = self.within[0][x]
+                np.bitwise_or.at(met[step], s[bit > 0], bit[bit > 0])
+                s, x = s[bit == 0], x[bit == 0]
+        total = np.bincount(layers[-1][0], minlength=len(at))
+        for s, x in layers[:-1]:
+            total += np.bincount(s[~self._covered(met, s, x)], minlength=len(at))
+        if depth > 1:
+            for first in np.unique(met[1]):
+                own = np.flatnonzero(met[1] == first)
+                total[own] += self._behind(first, met[2:, own])
+        return total
+
+    def _covered(self, met: np.ndarray, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether node ``x`` is near enough to a hub that walk ``s`` met."""
+        out = np.zeros(len(x), bool)
+        for step in range(1, self.depth):
+            out |= (self.within[self.depth - step][x] & met[step][s]) != 0
+        return out
+
+    def _behind(self, first: np.uint16, later: np.ndarray) -> np.ndarray:
+        """How many nodes are near the hubs that walks met, ``first`` by the first step, a row of ``later`` by each other."""
+        if first not in self.known:
+            free = (self.classes[:, -1] & first) == 0
+            counts = np.bincount(self.rest_of.ravel()[free], self.counts[free], len(self.rest)) if self.depth > 2 else np.empty(0)
+            some = np.flatnonzero(counts)
+            if len(self.known) == 256:
+                self.known.clear()
+            self.known[first] = len(self.degree) - int(self.counts[free].sum()), some, counts[some]
+        base, some, counts = self.known[first]
+        if not len(some):
+            return np.full(later.shape[1], base)
+        rest = self.rest[some]
+        keys, where = np.unique(later, axis=1, return_inverse=True)
+        found = np.empty(keys.shape[1])
+        block = max(1, WALKED // max(1, len(rest)))
+        for k in range(0, keys.shape[1], block):
+            hit = np.zeros((min(block, keys.shape[1] - k), len(rest)), bool)
+            for j, row in enumerate(keys[:, k : k + block]):
+                hit |= (row[:, None] & rest[:, -1 - j]) != 0
+            found[k : k + block] = hit @ counts
+        return base + found[where.ravel()].astype(np.int64)
 
 
 def fan_in_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:

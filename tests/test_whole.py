@@ -1,5 +1,6 @@
 """Registered queries do their whole job on small tables that a cut would show in."""
 
+import numpy as np
 import pytest
 
 from loomgraph import graph_queries as Q
@@ -53,6 +54,38 @@ def test_preflight_in_memory_equals_joins(spark, depth):
     assert len(got) > 40 and got == rows(C.preflight(n, e, files, depth, 0))
 
 
+@pytest.mark.parametrize("hubs", [2, 16])
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 5])
+def test_balls_are_whole_and_walks_end_at_hubs(monkeypatch, hubs, depth):
+    monkeypatch.setattr(C, "HUBS", hubs)
+    rng, n = np.random.default_rng(depth), 300
+    linked = np.eye(n, dtype=bool)
+    for a, b in [*((k, int(rng.integers(0, k))) for k in range(1, n)), *((h, int(k)) for h in (0, 7, 50) for k in rng.integers(0, n, 80)), *rng.integers(0, n, (60, 2)).tolist()]:
+        linked[a, b] = linked[b, a] = True
+    want = np.linalg.matrix_power(linked.astype(float), depth) > 0
+    np.fill_diagonal(linked, False)
+    balls = C.Balls(np.nonzero(linked)[1].astype(np.int32), linked.sum(1), depth)
+    assert (balls.sizes(np.arange(n)) == want.sum(1)).all()
+    if depth == 3 and hubs == 16:
+        monkeypatch.setattr(C, "WALKED", 10)
+        assert (balls.sizes(np.arange(n)) == want.sum(1)).all()
+        degree = linked.sum(1)
+        through = degree + linked @ degree + linked @ (linked @ degree)
+        assert balls.cost.mean() < through.mean() / 20
+
+
+def test_balls_of_three_times_the_tables():
+    """As many pairs as about 1 GB of tables has are walked in memory; by joins their balls filled the disk."""
+    n = 2_200_000
+    other = np.arange(3, n, dtype=np.int32)
+    ends = np.concatenate([other % 3, other[:-1], np.full(3, 3, np.int32)]), np.concatenate([other, other[1:], np.arange(3, 6, dtype=np.int32) - 3])
+    code = np.unique(np.concatenate([ends[0].astype(np.int64) * n + ends[1], ends[1].astype(np.int64) * n + ends[0]]))
+    assert 4_000_000 < len(code) // 2 < C.PAIRS_IN_MEMORY
+    near = (code % n).astype(np.int32)
+    balls = C.Balls(near, np.bincount(code // n, minlength=n), 3)
+    assert (balls.sizes(np.array([0, 1, 2, n // 2])) == n).all()
+
+
 def test_communities_of_defines_edges(spark, tmp_path):
     d = tables(spark, tmp_path, [(a, b, "defines") for t in ("abc", "xyz") for a, b in zip(t, t[1:] + t[0])])
     assert rows(Q.communities(spark, d).where("level = 0").select("id", "community")) == {(i, t[0]) for t in ("abc", "xyz") for i in t}
