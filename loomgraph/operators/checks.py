@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.columns import DATA, TEMPORAL
 from loomgraph.operators.graph import adjacency, degrees, with_ends
 from loomgraph.operators.traverse import layers
-from loomgraph.plans.durable import Workspace
+from loomgraph.plans.durable import Workspace, numbered
 
 # Paths of migrations, of formats that others read, and of configuration.
 MIGRATION = (r"migrations?/", r"alembic/", r"\b\d{4,}_.*\.(py|sql)$", r"\.sql$", r".*schema.*\.(py|sql)$", r"\bschema\.sql\b", r"\bmigrate\b.*\.(py|sql)$")
@@ -91,16 +91,11 @@ def preflight(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int =
 def _ball_totals(ws: Workspace, pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``file, direct_nodes, total_impact`` of ``file, seed``, with the pairs ``a, b`` sent to every task as numbers."""
     spark = pairs.sparkSession
-    numbers = ws.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("no")))
-    part = F.shiftright("no", 33)
-    sizes = dict(numbers.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect())
-    starts = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])])
-    dense = F.get(F.array(*[F.lit(int(k)) for k in starts]), part.cast("int")) + F.col("no").bitwiseAND(F.lit((1 << 33) - 1))
-    numbers = numbers.select("id", dense.cast("int").alias("no"))
+    numbers, n = numbered(ws, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     coded = ws.keep(pairs.join(numbers.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(numbers.select(F.col("id").alias("b"), F.col("no").alias("y")), "b").select("x", "y"))
     ways = coded.unionByName(coded.select(F.col("y").alias("x"), F.col("x").alias("y")))
     degrees = ways.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("k")).toArrow()
-    degree = np.zeros(int(starts[-1]), np.int64)
+    degree = np.zeros(n, np.int64)
     degree[degrees["x"].to_numpy()] = degrees["k"].to_numpy()
     graph = Balls(ways.orderBy("x").select("y").toArrow()["y"].to_numpy(), degree, depth)
     sent = spark.sparkContext.broadcast(graph)

@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import graph_queries as Q
 from loomgraph.operators import checks as C
 from loomgraph.operators import community as M
 from loomgraph.operators import graph as G
+from loomgraph.plans.durable import Workspace
 
 NODES = "id string, name string, kind string, location string, properties string, out_degree long, in_degree long, community_id int"
 EDGES = "source string, target string, kind string, coupling_depth int, temporal_delay_sec double"
@@ -104,6 +106,38 @@ def test_communities_until_one_is_left(spark, tmp_path, monkeypatch):
     assert [sum(level == k for level, _ in got) for k in range(6)] == [16, 8, 4, 2, 1, 0]
 
 
+def test_communities_in_memory_equal_joins(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    n, e = Q._n(spark, d), Q._e(spark, d)
+    e = e.unionByName(e.limit(1).withColumn("target", F.col("source")))
+    got = rows(M.communities(n, e, sweeps=5, levels=2))
+    assert len({c for level, _, c in got if level == 0}) < n.count() / 2
+    monkeypatch.setattr(M, "LOOKED_AT", 1)
+    again = rows(M.communities(n, e, sweeps=5, levels=2))
+    monkeypatch.setattr(M, "PAIRS_IN_MEMORY", -1)
+    assert got == again == rows(M.communities(n, e, sweeps=5, levels=2))
+
+
+def test_sweeps_of_a_level_are_no_jobs(spark):
+    pairs = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}", 1.0) for k in range(200)], "a string, b string, w double")
+    group = "sweeps-of-a-level"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = M._level(Workspace(spark, "test"), pairs, 100).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 201 and 0 < jobs < 20
+
+
+@pytest.mark.parametrize("in_memory", [8_000_000, -1])
+@pytest.mark.parametrize("heavy", [1e9, 1e11])
+def test_a_community_forms_whatever_share_it_has(spark, monkeypatch, in_memory, heavy):
+    monkeypatch.setattr(M, "PAIRS_IN_MEMORY", in_memory)
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("c", "d", heavy)], "a string, b string, w double")
+    assert rows(M._level(Workspace(spark, "test"), pairs, 100).select("id", "community")) == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
+
+
 def test_shortest_path_beyond_six_steps(spark, tmp_path):
     d = tables(spark, tmp_path, [(f"n{i}", f"n{i + 1}", "inherits") for i in range(9)])
     assert rows(Q.shortest_path_length(spark, d)) == {(9,)}
