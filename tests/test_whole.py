@@ -130,6 +130,18 @@ def test_sweeps_of_a_level_are_no_jobs(spark):
     assert len(found) == 201 and 0 < jobs < 20
 
 
+def test_labels_need_few_jobs(spark, tmp_path):
+    d = tables(spark, tmp_path, [(a, b, "calls") for t in ("abcd", "wxyz") for a in t for b in t if a < b], {i: f"m/{t}.py" for t in ("abcd", "wxyz") for i in t})
+    group = "labels"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = rows(Q.community_labels(spark, d).select("community", "size", "label"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {("a", 4, "abcd"), ("w", 4, "wxyz")} and 0 < jobs < 45
+
+
 @pytest.mark.parametrize("in_memory", [8_000_000, -1])
 @pytest.mark.parametrize("heavy", [1e9, 1e11])
 def test_a_community_forms_whatever_share_it_has(spark, monkeypatch, in_memory, heavy):
